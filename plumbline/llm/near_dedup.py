@@ -9,12 +9,13 @@ their signature.  Inside a bucket nothing is paired with everything:
 
 1. every class is compared with one representative, the class that shares the most buckets
    (the original, in a group of edited copies), on full shingle sets;
-2. what that leaves unconnected is compared across components only: buckets whose members are one
-   component already are dropped by an aggregation, the others are joined with the condition that
-   the components differ, so no link between different components is lost and a large group of
-   near copies adds no pairs.
+2. the classes that a representative refused are compared with all that were compared with it, in
+   blocks of bounded size: nothing is emitted but links that join components;
+3. what shares a bucket with another component under another representative is paired where it shares
+   one of its rarest shingles (the prefix filter, which loses no pair); buckets and shingles whose
+   members are one component already are dropped by an aggregation.
 
-Both steps run over all buckets without a cap.
+All steps run over all buckets without a cap.
 
 Defined cases: null or wordless text: an empty set, linked with nothing, kept, its component is its
 own doc_id. Repeated rows: one class; each row is returned. Null doc_id: the row takes part, its
@@ -41,6 +42,8 @@ PERMUTATIONS = 64
 BAND = 2
 #: Link when 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
+#: Shingles of the refused classes that one task compares at a time, about.
+BLOCK_SHINGLES = 1 << 19
 
 _FLIP = keyed(PERMUTATIONS, seed=1)[:, None]
 _SCALE = (keyed(PERMUTATIONS, seed=2) | np.uint64(1))[:, None]
@@ -120,30 +123,139 @@ def _keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose full shingle sets are similar enough."""
-    sizes = classes.select("cls", "n_shingles")
-    likely = (
-        pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a")), "a")
-        .join(sizes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b")), "b")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR)
-    )
-    likely = cut(likely.select("a", "b", "n_a", "n_b"), "pairs")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "row"), "cls")
-    needed = needed.select("cls", F.col("row.doc_id").alias("at_id"), F.col("row.text_key").alias("at_key"))
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, shingles) of the classes in ``wanted`` (cls, row), from the text of one row of each."""
+    needed = wanted.select("cls", F.col("row.doc_id").alias("at_id"), F.col("row.text_key").alias("at_key"))
     texts = _keyed_texts(docs)
     found = texts.join(needed, (texts.text_key == needed.at_key) & texts.doc_id.eqNullSafe(needed.at_id))
     sets = found.select("cls", "text").mapInArrow(_shingle_sets, _SETS)
-    sets = sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))  # rows that repeat an id with its text
-    sets = cut(sets, "sets")
+    return sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))  # rows may repeat an id with its text
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose full shingle sets are similar enough."""
+    n_a, n_b = F.size("of_a").cast("long"), F.size("of_b").cast("long")
     common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    return (
-        likely.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a")), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b")), "b")
-        .select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), common.alias("common"))
-        .where(F.col("common") * 100 >= (F.col("n") - F.col("common")) * SIMILAR)
-        .select("a", "b")
-    )
+    met = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a")), "a")
+    met = met.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b")), "b")
+    met = met.where(F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * SIMILAR)
+    met = met.select("a", "b", (n_a + n_b).alias("n"), common.alias("common"))
+    return met.where(F.col("common") * 100 >= (F.col("n") - F.col("common")) * SIMILAR).select("a", "b")
+
+
+_ROWS = T.StructType(
+    [
+        T.StructField("hub", T.BinaryType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("side", T.IntegerType()),
+        T.StructField("cls", T.BinaryType()),
+        T.StructField("comp", T.BinaryType()),
+        T.StructField("shingles", T.ArrayType(T.LongType())),
+    ]
+)
+_LINK = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+
+class _Held:
+    """The refused classes of one block, ready to be compared with a stream of classes."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, np.ndarray]]):
+        self.cls = [r[0] for r in rows]
+        self.comp = [r[1] for r in rows]
+        self.sizes = np.array([len(r[2]) for r in rows])
+        values = np.concatenate([r[2] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+        self.parent: dict[bytes, bytes] = {}
+
+    def _root(self, comp: bytes) -> bytes:
+        while (up := self.parent.get(comp, comp)) != comp:
+            comp = up
+        return comp
+
+    def links(self, cls: bytes, comp: bytes, shingles: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Links of a class to held ones that join components not joined here before."""
+        low = np.searchsorted(self.values, shingles, "left")
+        count = np.searchsorted(self.values, shingles, "right") - low
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.cls))
+        out = []
+        for i in np.flatnonzero(common * 100 >= (self.sizes + len(shingles) - common) * SIMILAR):
+            mine, other = self._root(self.comp[i]), self._root(comp)
+            if mine != other:
+                self.parent[max(mine, other)] = min(mine, other)
+                out.append((self.cls[i], cls))
+        return out
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by (hub, block, side): the held classes of a block come first, then all of its hub."""
+    block, rows, held = None, [], None
+    for batch in batches:
+        out = []
+        sets = batch.column(5)
+        values, ends = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))
+        heads = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+        for i, (hub, number, side, cls, comp) in enumerate(heads):
+            shingles = values[ends[i - 1] if i else 0 : ends[i]]
+            if (hub, number) != block:
+                block, rows, held = (hub, number), [], None
+            if side == 0:
+                rows.append((cls, comp, shingles.copy()))
+            else:
+                held = held or _Held(rows)
+                out += held.links(cls, comp, shingles)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=_LINK.names)
+
+
+def _within_hubs(stars: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components among the classes with one representative.
+
+    stars: (cls, hub). Classes outside the hub's component are held in blocks of about BLOCK_SHINGLES and met
+    by every class of that hub.
+    """
+    known = labels.select(F.col("node").alias("cls"), "comp")
+    ours = stars.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    theirs = labels.select(F.col("node").alias("hub"), F.col("comp").alias("main"))
+    ours = ours.join(theirs, "hub", "left").withColumn("refused", F.col("comp") != F.coalesce("main", "hub"))
+    rows = ours.join(sets, "cls").select("hub", "cls", "comp", "refused", "shingles")
+    hubs = ours.join(sets.select("cls", F.size("shingles").alias("n")), "cls").groupBy("hub")
+    hubs = hubs.agg(F.sum(F.when(F.col("refused"), F.col("n"))).alias("n"), F.count("*").alias("many"))
+    hubs = hubs.where("n > 0 and many > 1").select("hub", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    rows = rows.join(hubs, "hub")
+    held = rows.where("refused").select("hub", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.lit(0).alias("side"), "cls", "comp", "shingles")
+    met = rows.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cls", "comp", "shingles")
+    both = held.unionByName(met).repartition("hub", "block").sortWithinPartitions("hub", "block", "side")
+    return both.select(*_ROWS.names).mapInArrow(_compare_blocks, _LINK)
+
+
+def _crossing(open_sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components and representatives that can be similar: they share one of
+    their rarest shingles.
+
+    open_sets: (cls, comp, hub, shingles). Sets of Jaccard similarity t share a shingle among the first
+    n - ceil(t n) + 1 of either in any common order; in the order of frequency most of these belong to
+    one set alone and pair with nothing, as do the edits of a copy that is too far from all others.
+    Within a shingle, members of its most frequent component aren't compared with each other.
+    """
+    rows = open_sets.select("cls", "comp", "hub", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = cut(rows.join(counts, "shingle"), "shared")
+    by_class = Window.partitionBy("cls")
+    place = F.row_number().over(by_class.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(by_class)
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1
+    first = cut(shared.withColumn("place", place).where(F.col("place") <= prefix).select("cls", "comp", "hub", "n", "shingle"), "prefixes")
+    tally = first.groupBy("shingle", "comp").count().groupBy("shingle")
+    tally = tally.agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    first = cut(first.join(tally.select("shingle", F.col("most.comp").alias("main")), "shingle"), "prefixes")
+    few = first.where("comp <> main").select("shingle", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("hub").alias("hub_a"), F.col("n").alias("n_a"))
+    every = first.select("shingle", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("hub").alias("hub_b"), F.col("n").alias("n_b"), "main")
+    once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR
+    met = few.join(every, "shingle").where((F.col("comp_a") != F.col("comp_b")) & (F.col("hub_a") != F.col("hub_b")) & once & sizes)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -172,9 +284,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, members.cls == labels.node, "left").select(
-        "key", "cls", "reach", F.coalesce("comp", "cls").alias("comp")
-    )
+    return members.join(labels, members.cls == labels.node, "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -186,7 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = cut(_keyed_texts(docs).mapInArrow(_sign, _SIGNED), "signatures")
     real = signed.where("cls is not null")
     classes = real.groupBy("cls").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles")
+        F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("least_id")
     )
     classes = cut(classes, "classes")
     by_key = Window.partitionBy("key")
@@ -199,24 +309,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hub = F.max(F.struct("weight", "cls")).over(by_key)["cls"]
     offers = members.join(central, "cls").select("key", "cls", "weight", hub.alias("hub"), F.max("weight").over(by_key).alias("top"))
     stars = offers.where("cls <> hub").groupBy("cls").agg(F.max(F.struct("top", "hub")).alias("best"))
-    links = cut(_confirmed(stars.select(F.col("cls").alias("a"), F.col("best.hub").alias("b")), docs, classes), "links")
+    shared = members.select("cls").distinct()
+    sets = cut(_full_sets(docs, classes.join(shared, "cls").select("cls", "row")), "sets")
+    stars = cut(stars.select("cls", F.col("best.hub").alias("hub")), "stars")
+    links = cut(_confirmed(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), sets), "links")
     labels = components(links)
 
-    # 2. across components that share a bucket
+    # 2. what a representative refused, against all that it was compared with
+    within = cut(_within_hubs(stars, labels, sets), "links")
+    if within.limit(1).count():
+        links = links.unionByName(within)
+        labels = components(links)
+
+    # 3. what shares a bucket with another component under another representative
     marked = _labelled(members, labels)
     open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    marked = cut(marked.join(open_keys, "key", "left_semi"), "open")
-    other = marked.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-    crossing = (
-        marked.select("key", F.col("cls").alias("a"), "comp")
-        .join(other, "key")
-        .where("comp < comp_b")
-        .select("a", "b")
-        .distinct()
-    )
-    tried = stars.select(F.col("cls").alias("a"), F.col("best.hub").alias("b"))
-    tried = tried.union(tried.select("b", "a"))
-    more = cut(_confirmed(crossing.join(tried, ["a", "b"], "left_anti"), docs, classes), "links")
+    marked = marked.join(open_keys, "key", "left_semi").select("cls", "comp").distinct()
+    marked = marked.join(stars, "cls", "left").withColumn("hub", F.coalesce("hub", "cls"))
+    more = cut(_confirmed(_crossing(sets.join(marked, "cls")), sets), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 

@@ -18,9 +18,15 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from plumbline.plans import claim_queries, ingest_queries, review_queries  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)

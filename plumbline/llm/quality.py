@@ -26,7 +26,7 @@ from plumbline.llm.common import Texts, keyed, mix64, slices, small_batches
 
 BITS = 16
 #: Labelled rows of each class that the regression is fitted on, at most.
-PER_CLASS = 1000
+PER_CLASS = 600
 #: Every so-many-th sampled row calibrates instead of training.
 HELD_OUT = 4
 #: Kept when the calibrated probability of good quality is at least this.
@@ -118,8 +118,8 @@ _VECTOR = T.StructType(
     [
         T.StructField("place", T.LongType()),
         T.StructField("label", T.LongType()),
-        T.StructField("slots", T.ArrayType(T.IntegerType())),
-        T.StructField("shares", T.ArrayType(T.FloatType())),
+        T.StructField("slots", T.BinaryType()),
+        T.StructField("shares", T.BinaryType()),
     ]
 )
 
@@ -142,8 +142,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column(0).slice(i, 1),
                     batch.column(1).slice(i, 1),
-                    pa.array([slots.astype(np.int32)], pa.list_(pa.int32())),
-                    pa.array([dense[slots].astype(np.float32)], pa.list_(pa.float32())),
+                    pa.array([slots.astype("<i4").tobytes()], pa.binary()),
+                    pa.array([dense[slots].astype("<f4").tobytes()], pa.binary()),
                 ],
                 names=_VECTOR.names,
             )
@@ -174,9 +174,9 @@ def _fit(rows: list, ratio: float) -> Model | None:
     held = np.array([r.place % HELD_OUT == 0 for r in rows])
     if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
         held = np.zeros(len(rows), bool)
-    row = np.repeat(np.arange(len(rows)), [len(r.slots) for r in rows])
-    slot = np.concatenate([np.asarray(r.slots, np.int64) for r in rows])
-    share = np.concatenate([np.asarray(r.shares, np.float64) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.slots) // 4 for r in rows])
+    slot = np.frombuffer(b"".join(r.slots for r in rows), "<i4")
+    share = np.frombuffer(b"".join(r.shares for r in rows), "<f4")
     train = np.where(held, 0.0, 1.0)
     weight = train * np.where(labels > 0, 0.5 / max(1, (train * labels).sum()), 0.5 / max(1, (train * (1 - labels)).sum()))
     # square roots of shares' column norms even out rare and common slots

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import cut
+
 # The rules of the registered query, (host, path, verdict).
 RULES = (
     ("com", "/", "allow"),
@@ -79,7 +81,8 @@ def _tree(shapes: DataFrame) -> DataFrame:
         name = F.when(F.col("segment") == "", F.lit("")).when(F.col("keep"), F.concat(F.lit("/"), "segment")).otherwise(F.lit("/*"))
         grown = F.col("segment") != ""
         rows = rows.withColumn("above", F.when(grown, F.col("prefix")).otherwise(F.col("above")))
-        rows = rows.withColumn("prefix", F.concat("prefix", name)).drop("segment", "keep")
+        # every level reads its rows twice; written, they are worked out once
+        rows = cut(rows.withColumn("prefix", F.concat("prefix", name)).drop("segment", "keep"), "level")
     return rows.select("host", "shape", F.col("prefix").alias("template"), F.col("above").alias("parent"), "labelled", "bad")
 
 
@@ -92,7 +95,7 @@ def rejected_shapes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     shapes = marked.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    tree = _tree(shapes)
+    tree = _tree(cut(shapes, "shapes"))
     overall = labels.agg(F.avg(F.col("bad").cast("double")).alias("base"))
     branches = tree.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     pooled = branches.groupBy("host", "parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
@@ -101,14 +104,14 @@ def rejected_shapes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     own = F.try_divide(F.col("bad").cast("double"), F.col("labelled"))
     error = F.sqrt(rate * (1 - rate) / F.col("labelled"))
     apart = F.coalesce(F.abs(own - rate) > SIGMAS * error, F.lit(False))
-    branches = branches.withColumn("group", F.when(apart, F.col("template")).otherwise(F.lit("")))
+    branches = cut(branches.withColumn("group", F.when(apart, F.col("template")).otherwise(F.lit(""))), "branches")
     groups = branches.groupBy("host", "parent", "group").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     # one row, the global bad rate
     judged = groups.join(F.broadcast(overall))
     smoothed = (F.col("bad") + SMOOTHING * F.coalesce("base", F.lit(0.0))) / (F.col("labelled") + SMOOTHING)
     judged = judged.where((smoothed >= REJECT_FROM) & (F.col("labelled") > 0)).select("host", "parent", "group")
     bad = branches.join(judged, ["host", "parent", "group"]).select("host", "parent", "template")
-    return tree.join(bad, ["host", "parent", "template"]).select("host", "shape", "template")
+    return cut(tree.join(bad, ["host", "parent", "template"]).select("host", "shape", "template"), "rejected")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:

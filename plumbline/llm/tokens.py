@@ -1,16 +1,17 @@
 """Token ids and counts exactly as the ``tokenizers`` library gives them, with a memory of units.
 
-A text is cut at single spaces that stand between characters that aren't white space. No
-pre-token of the supported vocabularies crosses such a cut, so the text's ids are its units' ids in
-a row. The library encodes a unit once per worker; the memory of units is emptied when it holds
-``MEMORY_UNITS`` of them, which bounds it and changes no result.
+A text is cut at single spaces and line feeds that stand between characters that aren't white
+space, and before a full stop or comma that ends such a piece. No pre-token of the supported vocabularies
+crosses such a cut, so the text's ids are its units' ids in a row. The library encodes a unit once per
+worker; the memory of units is emptied when it holds ``MEMORY_UNITS`` of them, which bounds it and
+changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -21,60 +22,115 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import cut, fresh_path, small_batches
 
-MEMORY_UNITS = 400_000
+MEMORY_UNITS = 1_500_000
 #: Longer units go to the library each time.
 LONGEST_KEPT = 40
 LIMIT_TOKENS = 2048
 
-_ODD = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def units(text: str) -> list[str]:
-    """Pieces whose ids, in a row, are the text's; all but the first have lost their leading space."""
-    if not text:
-        return []
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+def plain_words(text: str) -> list[str] | None:
+    """The words, if all white space is one space or line feed between two words; else null."""
+    words = text.split()
+    gaps = len(words) - 1
+    if sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps:
+        return words
+    return None
 
 
 class UnitEncoder:
-    """Applies ``of_ids`` to the ids of every unit, encoding units not seen before in one call."""
+    """Ids (as bytes) or id counts of a text's units. Units not seen before are encoded in one call, as one text in which
+    a special token stands between them: the library cuts at special tokens first and treats what lies
+    between as texts of their own. For ids, a line feed does the same at less cost between units without white space."""
 
-    def __init__(self, tokenizer_file: str, of_ids: Callable[[list[int]], object]):
+    SEPARATOR = "<|endoftext|>"
+    ENDS = (".", ",")
+
+    def __init__(self, tokenizer_file: str, counts: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.of_ids = of_ids
+        self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
+        self.counts = counts
         self.first: dict[str, object] = {}
         self.later: dict[str, object] = {}
-
-    def _learn(self, memory: dict, fresh: list[str], lead: str) -> dict:
+        self.feed = self._alone("\n")
+        self.ends = {x: self._alone(x) for x in self.ENDS}
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed_id = feed[0] if not counts and len(feed) == 1 else None
+
+    def _values(self, fresh: list[str], clean: bool) -> list:
+        """Values of units without special strings; clean: and without line feeds."""
+        by_feed = clean and self.feed_id is not None
+        joined = ("\n" if by_feed else self.SEPARATOR).join(fresh)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == (self.feed_id if by_feed else self.separator)), len(ids))
+        starts = np.append(0, ends[:-1] + 1)
+        if self.counts:
+            return (ends - starts).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)]
+
+    def _alone(self, unit: str):
+        ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+        return len(ids) if self.counts else np.array(ids, "<u4").tobytes()
+
+    def _learn(self, memory: dict, fresh: set[str], lead: str, clean: bool) -> dict:
         """Values of units not in memory; the short ones are kept."""
-        if len(memory) + len(fresh) > MEMORY_UNITS:
+        values, ended, plain = {}, [], set()
+        for x in fresh:
+            if "<|" in x:
+                values[x] = self._alone(lead + x)
+            elif clean and x[-1] in self.ends and x[-2:-1].isalnum():
+                ended.append(x)
+                if x[:-1] not in memory:
+                    plain.add(x[:-1])
+            else:
+                plain.add(x)
+        if plain:
+            plain = list(plain)
+            values.update(zip(plain, self._values([lead + x for x in plain], clean), strict=True))
+        for x in ended:
+            value = values.get(x[:-1])
+            values[x] = (memory[x[:-1]] if value is None else value) + self.ends[x[-1]]
+        if len(memory) + len(values) > MEMORY_UNITS:
             memory.clear()
-        found = self.tokenizer.encode_batch_fast([lead + x for x in fresh], add_special_tokens=False)
-        values = {x: self.of_ids(e.ids) for x, e in zip(fresh, found, strict=True)}
         memory.update((x, v) for x, v in values.items() if len(x) <= LONGEST_KEPT)
         return values
 
+    def _look_up(self, memory: dict, units: list[str], lead: str, clean: bool) -> list:
+        values = list(map(memory.get, units))
+        if None in values:
+            known = self._learn(memory, {x for x, v in zip(units, values, strict=True) if v is None}, lead, clean)
+            values = [known[x] if v is None else v for x, v in zip(units, values, strict=True)]
+        return values
+
     def encode(self, text: str) -> list:
         """The values of the text's units, in order."""
-        parts = units(text)
-        if not parts:
+        if not text:
             return []
-        head = self.first.get(parts[0])
-        if head is None:
-            head = self._learn(self.first, parts[:1], "")[parts[0]]
-        rest = parts[1:]
-        values = list(map(self.later.get, rest))
+        words = plain_words(text)
+        if words is None:
+            parts = _CUT.split(text)
+            return self._look_up(self.first, parts[:1], "", False) + self._look_up(self.later, parts[1:], " ", False)
+        values = list(map(self.later.get, words))
+        # the first word of a line has a line feed in front, not a space
+        places, at = [], 0
+        for line in text.split("\n"):
+            places.append(at)
+            at += line.count(" ") + 1
+        heads = self._look_up(self.first, [words[i] for i in places], "", True)
+        for i, head in zip(places, heads, strict=True):
+            values[i] = self.feed + head
+        values[0] = heads[0]
         if None in values:
-            fresh = list({x for x, v in zip(rest, values, strict=True) if v is None})
-            known = self._learn(self.later, fresh, " ")
-            values = [known[x] if v is None else v for x, v in zip(rest, values, strict=True)]
-        return [head, *values]
+            known = self._learn(self.later, {x for x, v in zip(words, values, strict=True) if v is None}, " ", True)
+            values = [known[x] if v is None else v for x, v in zip(words, values, strict=True)]
+        return values
 
 
 _encoders: dict = {}
@@ -84,7 +140,7 @@ def _encoder(kind: str, tokenizer_file: str) -> UnitEncoder:
     """One encoder a worker process, so that tasks that follow find its memory."""
     key = (kind, tokenizer_file)
     if key not in _encoders:
-        _encoders[key] = UnitEncoder(tokenizer_file, len if kind == "count" else lambda ids: np.array(ids, "<u4").tobytes())
+        _encoders[key] = UnitEncoder(tokenizer_file, counts=kind == "count")
     return _encoders[key]
 
 
@@ -170,14 +226,6 @@ DICTIONARY_BYTES = 1 << 15
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 22
 LEVEL = 3
 
-_FRAME = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("tie", T.LongType()),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("frame", T.BinaryType()),
-    ]
-)
 _BLOCK = T.StructType(
     [
         T.StructField("shard", T.IntegerType()),
@@ -211,7 +259,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     import zstandard
 
     fits = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    sample = fits.orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_DOCS).collect()
+    sample = fits.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
     arrays = [encode_ids(r.text, public_tokenizers.path(tokenizer)) + end_id.to_bytes(4, "little") for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
@@ -238,43 +286,29 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     )
     shared = spark.sparkContext.broadcast(dictionary)  # at most DICTIONARY_BYTES
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        from pyspark import TaskContext
 
         local, end = public_tokenizers.path(tokenizer), end_id.to_bytes(4, "little")
         frames = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None)
-        for batch in batches:
-            ids = [encode_ids(x or "", local) + end for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([frames.compress(x) for x in ids], pa.binary()),
-                ],
-                names=_FRAME.names,
-            )
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         shard, number, start, rows, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def block() -> pa.RecordBatch:
-            ids, counts, starts, frames = zip(*rows, strict=True)
+            ids, counts, starts, packed = zip(*rows, strict=True)
             known = [x for x in ids if x is not None]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in frames])])
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in packed])])
             row = [shard, number, name, min(known, default=None), max(known, default=None), sum(counts)]
-            row += [list(ids), list(counts), list(starts), offsets.tolist(), b"".join(frames)]
+            row += [list(ids), list(counts), list(starts), offsets.tolist(), b"".join(packed)]
             schema = pa.schema(list(zip(_BLOCK.names, _BLOCK_ARROW, strict=True)))
             return pa.RecordBatch.from_pylist([dict(zip(_BLOCK.names, row, strict=True))], schema)
 
         for batch in batches:
-            for doc_id, n, frame in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                rows.append((doc_id, n, start, frame))
-                start, size = start + n, size + len(frame)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode_ids(text or "", local) + end
+                n = len(ids) // 4
+                rows.append((doc_id, n, start, frames.compress(ids)))
+                start, size = start + n, size + len(rows[-1][3])
                 if len(rows) == BLOCK_DOCS or size >= BLOCK_BYTES:
                     yield block()
                     number, rows, size = number + 1, [], 0
@@ -282,10 +316,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
             yield block()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frames = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, _FRAME)
-    order = ("doc_id", "tie", "n_tokens")
-    ordered = frames.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(pack, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    # texts are ordered before they are encoded: ranges are found from a sample of the keys, and each text is encoded once
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "text").mapInArrow(pack, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 _BLOCK_ARROW = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary()]

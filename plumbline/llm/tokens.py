@@ -224,7 +224,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 DICTIONARY_BYTES = 1 << 15
 #: A block row of the file closes at so many documents or bytes.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 22
-LEVEL = 3
+LEVEL = 1
 
 _BLOCK = T.StructType(
     [

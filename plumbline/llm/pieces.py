@@ -238,12 +238,22 @@ def _encode_text(text: str | None, known: dict, model: str) -> np.ndarray:
     return np.frombuffer(b"".join(found), "<i4")
 
 
+def _as_bytes(rows: pa.Table) -> dict[str, bytes]:
+    """Words and their ids as little-endian 32-bit integers."""
+    if not rows.num_rows:
+        return {}
+    ids = pa.concat_arrays(rows["ids"].chunks)
+    ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)) * 4
+    raw = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+    return {word: raw[a:b] for word, a, b in zip(rows["word"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids) of every row of ``docs`` (doc_id, text), as the sentencepiece library encodes it."""
     spark = docs.sparkSession
     # at most DICTIONARY_WORDS rows of at most WORD_CHARS characters
-    rows = word_dictionary(docs, model).where("ids is not null").collect()
-    shared = spark.sparkContext.broadcast({r.word: np.array(r.ids, "<i4").tobytes() for r in rows})
+    rows = word_dictionary(docs, model).where("ids is not null").toArrow().combine_chunks()
+    shared = spark.sparkContext.broadcast(_as_bytes(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

@@ -167,16 +167,16 @@ def _fit(rows: list, ratio: float) -> Model | None:
     ratio: good labels for every bad one in the whole table.
     """
     size = 1 << BITS
-    rows = sorted(rows, key=lambda r: (r.place, r.label))
-    labels = np.array([float(r.label) for r in rows])
+    rows = sorted(rows)  # (place, label, slots, shares)
+    labels = np.array([float(r[1]) for r in rows])
     if len(set(labels)) < 2:
         return None
-    held = np.array([r.place % HELD_OUT == 0 for r in rows])
+    held = np.array([r[0] % HELD_OUT == 0 for r in rows])
     if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
         held = np.zeros(len(rows), bool)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.slots) // 4 for r in rows])
-    slot = np.frombuffer(b"".join(r.slots for r in rows), "<i4")
-    share = np.frombuffer(b"".join(r.shares for r in rows), "<f4")
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) // 4 for r in rows])
+    slot = np.frombuffer(b"".join(r[2] for r in rows), "<i4")
+    share = np.frombuffer(b"".join(r[3] for r in rows), "<f4")
     train = np.where(held, 0.0, 1.0)
     weight = train * np.where(labels > 0, 0.5 / max(1, (train * labels).sum()), 0.5 / max(1, (train * (1 - labels)).sum()))
     # square roots of shares' column norms even out rare and common slots
@@ -222,11 +222,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = marks.withColumn("place", F.row_number().over(first).cast("long")).where(F.col("place") <= PER_CLASS)
     # at most 2 * PER_CLASS rows
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = picked.where("text is not null").select("place", "label", "text").mapInArrow(_vectors, _VECTOR).collect()
-    seen: dict = {}
-    for r in rows:  # repeated rows of a document count once
-        seen.setdefault((r.place, r.label), r)
-    return _fit(list(seen.values()), totals[1] / totals[0])
+    vectors = picked.where("text is not null").select("place", "label", "text").mapInArrow(_vectors, _VECTOR)
+    ratio = totals[1] / totals[0]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for batch in batches:
+            for place, label, slots, shares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen.setdefault((place, label), (place, label, slots, shares))  # repeated rows of a document count once
+        model = _fit(list(seen.values()), ratio)
+        if model is not None:
+            both = np.concatenate([model.weights["word"], model.weights["char"]]).astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([both], pa.binary()), pa.array([model.slope]), pa.array([model.shift])], names=["weights", "slope", "shift"])
+
+    # the sample is bounded, so one task fits it; the driver gets the weights alone
+    found = vectors.repartition(1).mapInArrow(fit, "weights binary, slope double, shift double").collect()
+    if not found:
+        return None
+    both = np.frombuffer(found[0].weights, "<f4").astype(float)
+    return Model(both[: 1 << BITS], both[1 << BITS :], found[0].slope, found[0].shift)
 
 
 _JUDGED = T.StructType(

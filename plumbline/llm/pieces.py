@@ -277,6 +277,7 @@ def decode(ids: Column, model: str = MODEL) -> Column:
             return ""
         return (" ⁇ " if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ")).encode().hex()
 
-    table = F.lit([raw(i) for i in range(sp.get_piece_size())])
+    # one string literal, which the optimizer splits once; a literal of every piece would weigh on each plan
+    table = F.split(F.lit(" ".join(raw(i) for i in range(sp.get_piece_size()))), " ")
     whole = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")), "UTF-8")
     return F.when(F.startswith(whole, F.lit(" ")), F.substring(whole, F.lit(2), F.length(whole))).otherwise(whole)

@@ -130,12 +130,13 @@ def page_estimate(spark, sf_dir):
 
 
 @query(
-    f"WITH {_HEADED} SELECT e.document_id, e.element_index::BIGINT AS element_index, h.order_index::BIGINT AS order_index FROM elements e "
+    f"WITH {_HEADED} SELECT e.document_id, e.element_index::BIGINT AS element_index, coalesce(h.order_index, -1)::BIGINT AS order_index FROM elements e "
     "LEFT JOIN headed h ON h.document_id = e.document_id AND e.element_index >= h.start_index AND e.element_index < h.end_index"
 )
 def section_assignment(spark, sf_dir):
     elements = page_elements(spark, sf_dir)
-    return ingest.assign_sections(elements, ingest.headed_sections(elements))
+    rows = ingest.assign_sections(elements, ingest.headed_sections(elements))
+    return rows.withColumn("order_index", F.coalesce("order_index", F.lit(-1).cast("long")))
 
 
 _RANGES = f"""{_HEADED},
@@ -143,22 +144,22 @@ ranged AS (SELECT h.document_id, h.order_index, min(page_number) AS page_start,
   LEFT JOIN elements e ON e.document_id = h.document_id AND e.element_index >= h.start_index AND e.element_index < h.end_index GROUP BY ALL)"""
 
 
-@query(f"WITH {_RANGES} SELECT document_id, order_index::BIGINT AS order_index, page_start::BIGINT AS page_start, page_end::BIGINT AS page_end FROM ranged")
+@query(f"WITH {_RANGES} SELECT document_id, order_index::BIGINT AS order_index, coalesce(page_start, -1)::BIGINT AS page_start, coalesce(page_end, -1)::BIGINT AS page_end FROM ranged")
 def page_ranges(spark, sf_dir):
     elements = page_elements(spark, sf_dir)
     rows = ingest.page_ranges(elements, ingest.headed_sections(elements))
-    return rows.select("document_id", "order_index", F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"))
+    return rows.select("document_id", "order_index", *(F.coalesce(F.col(c), F.lit(-1)).cast("long").alias(c) for c in ("page_start", "page_end")))
 
 
 @query(
-    f"WITH {_RANGES} SELECT e.document_id, e.element_index::BIGINT AS chunk_id, max(order_index)::BIGINT AS order_index FROM elements e "
+    f"WITH {_RANGES} SELECT e.document_id, e.element_index::BIGINT AS chunk_id, coalesce(max(order_index), -1)::BIGINT AS order_index FROM elements e "
     "LEFT JOIN ranged r ON r.document_id = e.document_id AND e.page_number BETWEEN coalesce(page_start, 0) AND coalesce(page_end, 1000000000) WHERE type <> 'heading' GROUP BY ALL"
 )
 def section_relink_last_wins(spark, sf_dir):
     elements = page_elements(spark, sf_dir)
     sections = ingest.page_ranges(elements, ingest.headed_sections(elements))
     chunks = elements.where("type <> 'heading'").select("document_id", F.col("element_index").cast("long").alias("chunk_id"), "page_number")
-    return ingest.relink_by_page(chunks, sections).select("document_id", "chunk_id", "order_index")
+    return ingest.relink_by_page(chunks, sections).select("document_id", "chunk_id", F.coalesce("order_index", F.lit(-1).cast("long")).alias("order_index"))
 
 
 @query("SELECT event_id, value IS NOT NULL AND value / 100 < 0.6::DOUBLE AS low_confidence_ocr FROM events")

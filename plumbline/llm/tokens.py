@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ LONGEST_KEPT = 40
 LIMIT_TOKENS = 2048
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters up to U+024F: a word of them is one pre-token of a byte-level vocabulary.
+_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 
 
 def plain_words(text: str) -> list[str] | None:
@@ -50,6 +53,7 @@ class UnitEncoder:
     def __init__(self, tokenizer_file: str, counts: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
@@ -62,6 +66,23 @@ class UnitEncoder:
         self.ends = {x: self._alone(x) for x in self.ENDS}
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed_id = feed[0] if not counts and len(feed) == 1 else None
+        self.model, self.alphabet = self.tokenizer.model, None
+        if not counts and self._byte_level():
+            # the library's own form of every character that a word of letters can hold
+            form = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.alphabet = {i: form.pre_tokenize_str(chr(i))[0][0] for i in (0x20, *range(0x41, 0x250))}
+
+    def _byte_level(self) -> bool:
+        """Whether texts reach the model by nothing but the byte-level pattern."""
+        import json
+
+        parts = json.loads(self.tokenizer.to_str())
+        step = parts["pre_tokenizer"] or {}
+        return parts["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step["add_prefix_space"]
+
+    def _word(self, word: str) -> bytes:
+        """The ids of one pre-token, straight from the library's model."""
+        return array("I", [x.id for x in self.model.tokenize(word.translate(self.alphabet))]).tobytes()
 
     def _values(self, fresh: list[str], clean: bool) -> list:
         """Values of units without special strings; clean: and without line feeds."""
@@ -91,6 +112,10 @@ class UnitEncoder:
                     plain.add(x[:-1])
             else:
                 plain.add(x)
+        if self.alphabet is not None:
+            words = {x for x in plain if _LETTERS.fullmatch(x)}
+            values.update((x, self._word(lead + x)) for x in words)
+            plain -= words
         if plain:
             plain = list(plain)
             values.update(zip(plain, self._values([lead + x for x in plain], clean), strict=True))

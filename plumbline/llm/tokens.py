@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, fresh_path, small_batches
+from plumbline.llm.common import cut, fresh_path, small_batches, unit_hash
 
 MEMORY_UNITS = 1_500_000
 #: Longer units go to the library each time.
@@ -280,11 +280,16 @@ _READ = T.StructType(
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A zstandard dictionary of a bounded sample of serialised id arrays (those of the smallest id
-    hash among texts of at most SAMPLE_CHARS); raw ids where the sample is too small to train on."""
+    hash among texts of at most SAMPLE_CHARS); raw ids where the sample is too small to train on.
+
+    Hashes are held below a bound that leaves about four times the sample of all rows, so that tasks send
+    no more than that however many they are. Rows without an id aren't sampled."""
     import zstandard
 
-    fits = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    sample = fits.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
+    place = unit_hash(F.col("doc_id"))
+    fits = docs.where(F.col("doc_id").isNotNull() & (place < 4 * SAMPLE_DOCS / max(1, docs.count()))).select("doc_id", "text")
+    fits = fits.where(F.length("text").between(1, SAMPLE_CHARS))
+    sample = fits.orderBy(place, "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
     arrays = [encode_ids(r.text, public_tokenizers.path(tokenizer)) + end_id.to_bytes(4, "little") for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()

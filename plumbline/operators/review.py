@@ -42,3 +42,23 @@ def runs(pipeline_runs: DataFrame, document_id=None, stage: str | None = None) -
     rows = pipeline_runs if document_id is None else pipeline_runs.where(F.col("document_id") == document_id)
     rows = rows if stage is None else rows.where(F.col("stage") == stage)
     return rows.orderBy(F.col("created_at").desc(), "run_id")
+
+
+ISO = "yyyy-MM-dd'T'HH:mm:ss"
+
+
+def verdict_view(verdicts: DataFrame) -> DataFrame:
+    """Verdicts as they are shown: fixed columns, the time in ISO form."""
+    return verdicts.select("claim_id", "verdict_id", "final_verdict", F.date_format("resolved_at", ISO).alias("resolved_at"))
+
+
+def navigator_lines(sections: DataFrame) -> DataFrame:
+    """(document_id, lines): the sections of a document as a navigator is shown them, a line each, in order of id."""
+    line = F.format_string("- id=%s title=%s summary=%s", F.col("section_id").cast("string"), F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("section_id", line.alias("line")))), lambda e: e["line"])
+    return sections.groupBy("document_id").agg(F.array_join(lines, "\n").alias("lines"))
+
+
+def coverage(claims: DataFrame, by: str, *columns: str) -> DataFrame:
+    """The distinct values of each column, sorted, for every value of ``by``."""
+    return claims.groupBy(by).agg(*(F.array_join(F.sort_array(F.collect_set(c)), ",").alias(c) for c in columns))

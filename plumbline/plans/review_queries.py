@@ -79,6 +79,25 @@ def runs_by_stage(spark, sf_dir):
     return review.runs(rows, stage="purchase").drop("created_at")
 
 
+@query(f"WITH {VERDICTS_SQL} SELECT claim_id, verdict_id, final_verdict, strftime(resolved_at, '%Y-%m-%dT%H:%M:%S') AS resolved_at FROM verdicts")
+def verdict_view(spark, sf_dir):
+    return review.verdict_view(verdicts(spark, sf_dir))
+
+
+@query("SELECT p_size AS document_id, string_agg('- id=' || p_partkey || ' title=' || p_name || ' summary=' || p_type, chr(10) ORDER BY p_partkey) AS lines FROM part GROUP BY p_size")
+def navigator_lines(spark, sf_dir):
+    return review.navigator_lines(
+        table(spark, sf_dir, "part").select(F.col("p_size").alias("document_id"), F.col("p_partkey").alias("section_id"), F.col("p_name").alias("title"), F.col("p_type").alias("summary"))
+    )
+
+
+@query(
+    f"WITH {VERDICTS_SQL}, kinds AS (SELECT DISTINCT document_id, final_verdict FROM verdicts) SELECT document_id, string_agg(final_verdict, ',' ORDER BY final_verdict) AS final_verdict FROM kinds GROUP BY document_id"
+)
+def coverage_sets(spark, sf_dir):
+    return review.coverage(verdicts(spark, sf_dir), "document_id", "final_verdict")
+
+
 # --- events ------------------------------------------------------------------------------------------------
 
 #: The event kinds of the test table, in the order of stages.

@@ -8,9 +8,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import batching, classify, extract, ingest, layout, retrieve, review, tuning, verify
+from plumbline.operators import batching, classify, extract, ingest, layout, retrieve, review, tuning, verify, workflow
 from plumbline.sources import files, providers
 from plumbline.streaming import events as ev
+from plumbline.streaming import pages
 
 TABLE_TEXT = "Metric | Value\nRevenue (current period) | $112M\nRevenue (prior period) | $100M"
 
@@ -306,3 +307,49 @@ def test_event_stream_equals_batch(spark, tmp_path):
     assert {r.document_id: r.ended for r in batch.collect()}["d1"] is True
     pages = spark.range(1, 81).where(ev.reports_progress(F.col("id"), F.lit(80))).collect()
     assert [r.id for r in pages] == [*range(5, 81, 5)]
+
+
+def test_whole_run(spark, tmp_path):
+    one, none = REPORT, "empty"
+    both = documents(spark).unionByName(documents(spark, none, "none.docx"))
+    points = spark.createDataFrame([("financial", providers.hashed_vector(["revenue costs"])[0]), ("general", providers.hashed_vector(["weather"])[0])], "label string, centroid array<double>")
+
+    def decompose(sentences):
+        # stands in for a model: one claim a joined sentence, with what it requires
+        claim = F.struct(
+            F.col("sentence").alias("claim_text"), F.col("sentence").alias("source_span"), F.lit("statistical").alias("claim_type"), F.lit("both").alias("scope"),
+            F.array(F.lit("current period revenue"), F.lit("prior period revenue")).alias("requires"),
+        )
+        return sentences.select("*", claim.alias("c")).select(*sentences.columns, "c.*")
+
+    def reviews(found, evidence):
+        return found.select("claim_id", F.lit("supported").alias("verifier_verdict"), F.lit(0.9).alias("verifier_confidence"), F.lit("supported").alias("challenger_verdict"), F.lit(0.7).alias("challenger_confidence"))
+
+    out = workflow.process(elements(spark, one), both, str(tmp_path), points, reviews, resolved_at="2026-01-01 00:00:00", decompose=decompose)
+    assert {r.document_id: r.status for r in out["documents"].collect()} == {"d": "complete", none: "failed"}
+    found = out["claims"].where("claim_text like 'Revenue grew%'").collect()
+    assert len(found) == 1 and (found[0].domain, found[0].domain_source) == ("financial", "structural")
+    kinds = sorted(r.source_type for r in out["evidence"].where(F.col("claim_id") == found[0].claim_id).collect())
+    assert kinds == ["external", "internal_table"]
+    verdict = out["verdicts"].where(F.col("claim_id") == found[0].claim_id).first()
+    assert (verdict.final_verdict, verdict.final_confidence, verdict.resolved_by) == ("supported", 1.0, "deterministic")
+    assert out["verdicts"].count() == out["claims"].count()
+    folded = {r.document_id: r for r in ev.fold(out["events"]).collect()}
+    assert (folded["d"].stage, folded["d"].n_verified, folded["d"].ended) == ("verification_complete", out["claims"].count(), True)
+    assert folded[none].last_event == "ingest_failed" and folded[none].ended
+    again = workflow.reverify(out["claims"], spark.createDataFrame([(found[0].claim_id,)], "claim_id string"), out["candidates"], reviews(out["claims"], None), str(tmp_path), "2026-01-02 00:00:00")
+    history = spark.read.parquet(str(tmp_path / "verdicts")).where(F.col("claim_id") == found[0].claim_id)
+    assert again.count() == 1 and history.count() == 2 and verify.latest(history).first().verdict_id == again.first().verdict_id
+
+
+def test_pages_as_a_stream_equal_the_batch(spark, tmp_path):
+    rows = elements(spark)
+    for page in range(3):
+        rows.where(F.col("page_number") == page).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
+    stream = pages.carried(source).writeStream.format("memory").queryName("carried").start()
+    stream.processAllAvailable()
+    stream.stop()
+    want = ingest.running_offsets(ingest.with_heading(rows)).select("element_index", "section_title", "char_start")
+    got = spark.table("carried").select("element_index", "section_title", "char_start")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -353,3 +353,20 @@ def test_pages_as_a_stream_equal_the_batch(spark, tmp_path):
     want = ingest.running_offsets(ingest.with_heading(rows)).select("element_index", "section_title", "char_start")
     got = spark.table("carried").select("element_index", "section_title", "char_start")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stages_from_the_command_line(spark, tmp_path, capsys):
+    import json
+
+    from plumbline.__main__ import main
+
+    at = {n: str(tmp_path / n) for n in ("elements", "documents", "chunks", "snapshots")}
+    elements(spark).withColumn("ocr_confidence", F.lit(0.4)).write.parquet(at["elements"])
+    documents(spark).write.parquet(at["documents"])
+    main(["ingest", "--elements", at["elements"], "--documents", at["documents"], "--ocr"], spark)
+    shown = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert len(shown) >= 4 and all(r["low_confidence_ocr"] for r in shown)
+    made = ingest.run_ingestion(elements(spark), documents(spark))["chunks"].withColumn("chunk_id", F.concat_ws("-", "element_index", "chunk_index"))
+    made.write.parquet(at["chunks"])
+    main(["extract", "--chunks", at["chunks"], "--out", str(tmp_path / "claims")], spark)
+    assert {r.claim_text for r in spark.read.parquet(str(tmp_path / "claims")).collect()} >= {"We did well.", "It looks good."}

@@ -10,7 +10,7 @@ higher-order ``aggregate``:
 * ``merges``: for byte-pair tables, whose library result isn't the best-scoring path, the fold picks the best
   merge of neighbours, as often as one exists, over the same edges.
 
-Encoding a corpus folds the ``DICTIONARY_WORDS`` most frequent distinct words of at most
+Encoding a corpus folds the most frequent distinct words, at most ``DICTIONARY_WORDS``, of at most
 ``WORD_CHARS`` characters; that table has a fixed size bound and goes to the workers. A word outside it is
 encoded where it is met, by the library, so results are whole at every size.
 
@@ -193,11 +193,21 @@ def _count_words(model: str):
 
 
 def word_dictionary(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(word, ids): the most frequent distinct words of the whole corpus, folded over the lattice."""
+    """(word, ids): the most frequent distinct words of the whole corpus, folded over the lattice.
+
+    The words whose counts lie in the highest classes (64 for each doubling, so at most some 4,000 in all) that
+    hold no more than DICTIONARY_WORDS together; no task or driver sees more than the classes' sizes to find them."""
     spark = docs.sparkSession
     small_batches(spark)
     counts = docs.select("text").mapInArrow(_count_words(model), _WORDS).groupBy("word").agg(F.sum("n").alias("n"))
-    words = cut(counts.orderBy(F.col("n").desc(), "word").limit(DICTIONARY_WORDS).select("word"), "words")
+    counts = cut(counts.select("word", F.floor(F.log2("n") * 64).cast("int").alias("class")), "words")
+    lowest, room = None, DICTIONARY_WORDS
+    for row in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        lowest = row["class"]
+    words = counts.where(F.lit(False) if lowest is None else F.col("class") >= lowest).select("word")
     n = max(1, min(DICTIONARY_WORDS // 1000, spark.sparkContext.defaultParallelism * 4))
     pieces = piece_table(spark, model)
     longest = 16

@@ -131,7 +131,7 @@ def benchmark_claims(spark, sf_dir):
     item = F.col("item_id")
     scope = F.when(item % 3 == 0, "internal").when(item % 3 == 1, "external").otherwise("both")
     return table(spark, sf_dir, "benchmark").select(
-        item.alias("claim_id"), (item % 20).alias("document_id"), F.lit(None).cast("bigint").alias("section_id"), F.array(F.substring("text", 1, 60)).alias("requires"), scope.alias("scope")
+        item.alias("claim_id"), (item % 20).alias("document_id"), F.lit(None).cast("bigint").alias("section_id"), F.array("text").alias("requires"), scope.alias("scope")
     )
 
 

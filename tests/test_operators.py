@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zipfile
 
 import pytest
@@ -370,3 +371,17 @@ def test_stages_from_the_command_line(spark, tmp_path, capsys):
     made.write.parquet(at["chunks"])
     main(["extract", "--chunks", at["chunks"], "--out", str(tmp_path / "claims")], spark)
     assert {r.claim_text for r in spark.read.parquet(str(tmp_path / "claims")).collect()} >= {"We did well.", "It looks good."}
+
+
+def test_lookup_queries_require_whole_texts(spark, sf_dir):
+    """The registered lookup against pairs of whole texts, compared by hand."""
+    from plumbline import config
+    from plumbline.plans import claim_queries
+    from plumbline.plans.bindings import table
+
+    words = lambda text: {w for w in re.findall(r"[^\W_]+", text.lower()) if w not in config.STOPWORDS}
+    wanted = [(r.item_id, words(r.text)) for r in table(spark, sf_dir, "benchmark").collect()]
+    docs = [(r.doc_id, int(r.source[3:12]), words(r.text)) for r in table(spark, sf_dir, "documents").where("text is not null and source is not null").collect()]
+    want = {(i, d) for i, w in wanted for d, source, ws in docs if w and i % 20 == source and 2 * len(w & ws) >= len(w)}
+    got = claim_queries.internal_lookup(spark, sf_dir).collect()
+    assert {(r.claim_id, r.candidate_id) for r in got} == want and len(got) == len(want) > 0

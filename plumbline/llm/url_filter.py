@@ -1,8 +1,8 @@
 """URL filters: fixed host-and-path rules, then a path-template tree judged by labelled purity.
 
 Built from DataFrame operations alone. Per host, a path's segments are generalised in two steps: runs of digits
-become ``*``; then, level by level from the root, a segment that is rare among its siblings
-(variable, such as a slug) becomes ``*`` as well. Sibling branches whose rates of bad labels don't
+become ``*``; then, level by level from the root, a segment that is rare among its siblings and has too
+few labels to be judged on its own (variable, such as a slug) becomes ``*`` as well. Sibling branches whose rates of bad labels don't
 differ significantly from the siblings' pooled rate are merged. A template (or merged group) is rejected
 when its bad rate, smoothed toward the global rate, reaches ``REJECT_FROM``.
 
@@ -31,7 +31,8 @@ RULES = (
 )
 #: Levels of the tree; what lies deeper is one tail.
 LEVELS = 3
-#: A segment is kept if its pages are at least 1 in SHARE of its parent's and at least SUPPORT.
+#: A segment is kept if its pages are at least SUPPORT, and either 1 in SHARE of its parent's or enough labelled
+#: ones (SMOOTHING) to be judged without its siblings. The SQL knows the share alone.
 SHARE, SUPPORT = 50, 3
 #: Branches within so many standard errors of the siblings' pooled bad rate are merged.
 SIGMAS = 1.96
@@ -73,10 +74,11 @@ def _tree(shapes: DataFrame) -> DataFrame:
     for level in range(LEVELS + 1):
         segment = F.coalesce(F.get(parts, F.lit(level)), F.lit(""))
         rows = rows.withColumn("segment", segment)
-        here = rows.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n_here"))
+        here = rows.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n_here"), F.sum("labelled").alias("marked"))
         total = here.groupBy("host", "prefix").agg(F.sum("n_here").alias("n_all"))
         kept = here.join(total, ["host", "prefix"])
-        kept = kept.withColumn("keep", (F.col("n_here") >= SUPPORT) & (F.col("n_here") * SHARE >= F.col("n_all")))
+        told = (F.col("n_here") * SHARE >= F.col("n_all")) | (F.col("marked") >= SMOOTHING)
+        kept = kept.withColumn("keep", (F.col("n_here") >= SUPPORT) & told)
         rows = rows.join(kept.select("host", "prefix", "segment", "keep"), ["host", "prefix", "segment"])
         name = F.when(F.col("segment") == "", F.lit("")).when(F.col("keep"), F.concat(F.lit("/"), "segment")).otherwise(F.lit("/*"))
         grown = F.col("segment") != ""

@@ -174,6 +174,18 @@ def test_url_template_is_rejected_by_purity(spark):
     assert all((r.verdict == "block") == bool(r.page_id % 2) for r in got) and len(got) == 400
 
 
+def test_url_sections_of_small_share_are_judged(spark):
+    """60 equal sections of one host, six of them bad; a bad branch of 1% of another host."""
+    name = lambda i: "s" + chr(97 + i // 26) + chr(97 + i % 26)
+    urls = [(i, f"http://many.org/{name(i % 60)}/{i}", int(i % 60 < 6)) for i in range(2400)]
+    urls += [(5000 + i, f"http://hot.org/{'rare' if i % 100 == 0 else 'main'}/{i}", int(i % 100 == 0)) for i in range(3000)]
+    pages = spark.createDataFrame([u[:2] for u in urls], "page_id long, url string")
+    labels = spark.createDataFrame([(u[0], u[2]) for u in urls], "page_id long, bad int")
+    bad = {u[0]: u[2] for u in urls}
+    got = url_filter.judge_urls(pages, labels).collect()
+    assert len(got) == len(urls) and all((r.verdict == "block") == bool(bad[r.page_id]) for r in got)
+
+
 # --- 4 quality ---------------------------------------------------------------------------------
 
 

@@ -6,6 +6,8 @@ few labels to be judged on its own (variable, such as a slug) becomes ``*`` as w
 differ significantly from the siblings' pooled rate are merged. A template (or merged group) is rejected
 when its bad rate, smoothed toward the global rate, reaches ``REJECT_FROM``.
 
+The tree goes down to the deepest segment that there is.
+
 Everything after the first aggregation works on (host, shape) counts, not on pages; the pages meet
 the rejected shapes in one equi-join.
 
@@ -16,6 +18,8 @@ count in the tree and not in the purity.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Levels of the tree; what lies deeper is one tail.
+#: Levels of the SQL, where what lies deeper is one tail; the tree below has as many as the paths have.
 LEVELS = 3
 #: A segment is kept if its pages are at least SUPPORT, and either 1 in SHARE of its parent's or enough labelled
 #: ones (SMOOTHING) to be judged without its siblings. The SQL knows the share alone.
@@ -60,18 +64,17 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def shape_of(path: Column) -> Column:
-    """The path with digit runs as ``*``, its first LEVELS segments and a tail mark."""
+    """The path's segments with digit runs as ``*``."""
     general = F.regexp_replace(path, "[0-9]+", "*")
-    segments = F.filter(F.split(general, "/"), lambda s: s != "")
-    head = F.array_join(F.slice(segments, 1, LEVELS), "/")
-    return F.when(F.size(segments) > LEVELS, F.concat(head, F.lit("/**"))).otherwise(head)
+    return F.array_join(F.filter(F.split(general, "/"), lambda s: s != ""), "/")
 
 
 def _tree(shapes: DataFrame) -> DataFrame:
-    """(host, shape, n) -> (host, shape, template, parent)."""
+    """(host, shape, n, labelled, bad) -> (host, shape, template, parent, labelled, bad), down to the deepest segment."""
     parts = F.split("shape", "/")
     rows = shapes.withColumn("prefix", F.lit("")).withColumn("above", F.lit(""))
-    for level in range(LEVELS + 1):
+    ended, level = [], 0
+    while True:
         segment = F.coalesce(F.get(parts, F.lit(level)), F.lit(""))
         rows = rows.withColumn("segment", segment)
         here = rows.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n_here"), F.sum("labelled").alias("marked"))
@@ -84,7 +87,13 @@ def _tree(shapes: DataFrame) -> DataFrame:
         grown = F.col("segment") != ""
         rows = rows.withColumn("above", F.when(grown, F.col("prefix")).otherwise(F.col("above")))
         # every level reads its rows twice; written, they are worked out once
-        rows = cut(rows.withColumn("prefix", F.concat("prefix", name)).drop("segment", "keep"), "level")
+        rows = cut(rows.withColumn("prefix", F.concat("prefix", name)).withColumn("grown", grown).drop("segment", "keep"), "level")
+        ended.append(rows.where(~F.col("grown")))
+        rows = rows.where("grown").drop("grown")
+        if rows.isEmpty():
+            break
+        level += 1
+    rows = reduce(DataFrame.unionByName, ended)
     return rows.select("host", "shape", F.col("prefix").alias("template"), F.col("above").alias("parent"), "labelled", "bad")
 
 

@@ -186,6 +186,14 @@ def test_url_sections_of_small_share_are_judged(spark):
     assert len(got) == len(urls) and all((r.verdict == "block") == bool(bad[r.page_id]) for r in got)
 
 
+def test_url_paths_are_told_apart_at_any_depth(spark):
+    urls = [(i, f"http://a.org/en/shop/a/b/c/{'bad' if i % 2 else 'good'}/{i}/x") for i in range(400)] + [(400 + i, f"http://a.org/{i}") for i in range(40)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 400 and i % 2)) for i in range(440)], "page_id long, bad int")
+    got = url_filter.judge_urls(pages, labels).collect()
+    assert all((r.verdict == "block") == bool(r.page_id < 400 and r.page_id % 2) for r in got) and len(got) == 440
+
+
 # --- 4 quality ---------------------------------------------------------------------------------
 
 

@@ -40,6 +40,9 @@ _CONTEXT = re.compile(
     r"""["']?(?:\x20*(?:[:=]|=>|:=)\x20*|\x20+(?:is|was|Basic|Bearer)\x20+|\x20+)["'`]?([^\s"'`<>,;]{8,})"""
 )
 
+#: A sign, not blanks alone, between a keyword and its value.
+_JOINED = re.compile(r"""[:=]>?\x20*["'`]?\Z""")
+
 # Common password words, most common first (own short list).
 WORDS = (
     "password pass admin root user login welcome master secret letmein dragon monkey shadow sunshine princess "
@@ -118,14 +121,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Costly values in a credential's place that no fixed pattern reports."""
-    out = []
-    for m in _CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?)]}")
+    """Costly values in a credential's place, but what one fixed pattern reports whole."""
+    out, at = [], 0
+    while m := _CONTEXT.search(text, at):
+        # what ends a sentence isn't the value's, unless the value stands in quotes
+        quoted = text[m.end() : m.end() + 1] in ('"', "'", "`") and text[m.start(1) - 1] == text[m.end()]
+        value = m[1] if quoted else m[1].rstrip(".:!?)]}")
         start, end = m.start(1), m.start(1) + len(value)
-        if any(a < end and start < b for a, b, _ in base):
+        # a value that is dropped may hold the next keyword
+        at = start
+        if len(value) < 8 or not (_mixed(value) or _JOINED.search(text, m.start(), start)) or guess_cost(value) < COSTLY:
             continue
-        if len(value) >= 8 and _mixed(value) and guess_cost(value) >= COSTLY:
+        at = end
+        if not any(a <= start and end <= b for a, b, _ in base):
             out.append((start, end, ADDED))
     return out
 

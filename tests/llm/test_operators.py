@@ -424,6 +424,21 @@ def test_guess_cost_orders_values():
     assert [text[a:b] for a, b, k in secret_scan.scan(text)[1] if k == "guess"] == ["x9$Kq2!vLwz"]
 
 
+@pytest.mark.parametrize(
+    ("text", "guessed", "redacted"),
+    [
+        ("secret passphrase: x9$Kq2!vLwz", ["x9$Kq2!vLwz"], "secret passphrase: [SECRET]"),
+        ('password: "Tr0ub4dor&3xyz!" z', ["Tr0ub4dor&3xyz!"], '[SECRET]" z'),
+        ("pwd=qzjxvkwpfhgtrm.", ["qzjxvkwpfhgtrm"], "pwd=[SECRET]."),
+        ("pwd is qzjxvkwpfhgtrm", [], "pwd is qzjxvkwpfhgtrm"),
+        ("password=abcdef1 b", [], "[SECRET] b"),
+    ],
+)
+def test_guessed_values_are_whole(text, guessed, redacted):
+    assert [text[a:b] for a, b, k in secret_scan.scan(text)[1] if k == "guess"] == guessed
+    assert secret_scan.redact(text) == redacted
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "a password=abcdef1 b", "en", "s", 20), (2, None, None, None, None), (3, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in secret_scan.redact_secrets(frame).collect()}

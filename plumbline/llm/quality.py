@@ -26,7 +26,7 @@ from plumbline.llm.common import Texts, keyed, mix64, slices, small_batches
 
 BITS = 16
 #: Labelled rows of each class that the regression is fitted on, at most.
-PER_CLASS = 600
+PER_CLASS = 1000
 #: Every so-many-th sampled row calibrates instead of training.
 HELD_OUT = 4
 #: Kept when the calibrated probability of good quality is at least this.

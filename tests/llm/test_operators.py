@@ -232,6 +232,11 @@ def test_quality_model_held_out_accuracy(spark):
     assert (judged[other["quality"] == 1] >= quality.KEEP_FROM).mean() > 0.97
 
 
+def test_quality_sample_is_not_lowered():
+    assert quality.PER_CLASS >= 1000
+
+
+
 # --- 5 PII --------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,8 @@
 """What the corpus operators share: table access, shared-folder staging and Arrow text buffers.
 
 Nothing here collects rows to the driver.  Staged tables go to the folder that the cluster
-names in ``spark.checkpoint.dir``; a temporary folder is used only where that setting is
-absent, which is the case in unit tests.
+names in ``spark.checkpoint.dir``; without that setting, local sessions stage in a temporary
+folder and sessions on a cluster are refused, because their executors could not read it.
 """
 
 from __future__ import annotations
@@ -41,6 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -71,6 +74,25 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than one in HOT_KEYS of the rows, so there are fewer hot keys than that.
+HOT_KEYS = 1000
+
+
+def skew_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key) on ``key``; rows with a null key go.
+
+    Rows of hot keys stay where they are and meet their fact by broadcast (under HOT_KEYS rows); the
+    others are shuffled. ``rows`` should be a written table, as it is read three times.
+    """
+    least = rows.count() // HOT_KEYS
+    hot = cut(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least).select(key), "hot")
+    if hot.isEmpty():
+        return rows.join(facts, key)
+    known = cut(facts.join(F.broadcast(hot), key), "hot-facts")
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(facts, key)
+    return rows.join(F.broadcast(known), key).unionByName(cold)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

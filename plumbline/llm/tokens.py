@@ -1,10 +1,15 @@
 """Token ids and counts exactly as the ``tokenizers`` library gives them, with a memory of units.
 
 A text is cut at single spaces and line feeds that stand between characters that aren't white
-space, and before a full stop or comma that ends such a piece. No pre-token of the supported vocabularies
-crosses such a cut, so the text's ids are its units' ids in a row. The library encodes a unit once per
-worker; the memory of units is emptied when it holds ``MEMORY_UNITS`` of them, which bounds it and
-changes no result.
+space, and before a full stop or comma that ends such a piece where the library's own normaliser and
+pattern cut there too. No pre-token of the supported vocabularies crosses such a cut, so the text's ids
+are its units' ids in a row. The library encodes a unit once per worker; the memory of units is emptied
+when it holds ``MEMORY_UNITS`` of them, which bounds it and changes no result.
+
+Defined cases: null and empty texts have no ids (token files then hold the end id alone). Texts of any
+length are read whole. Repeated rows and null doc_ids are counted and written each; in token files rows
+without an id stand first and repeated ids are ordered by their text's hash. Empty tables give empty
+results. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, fresh_path, small_batches, unit_hash
+from plumbline.llm.common import cut, fresh_path, skew_join, small_batches, unit_hash
 
 MEMORY_UNITS = 1_500_000
 #: Longer units go to the library each time.
@@ -64,6 +69,8 @@ class UnitEncoder:
         self.later: dict[str, object] = {}
         self.feed = self._alone("\n")
         self.ends = {x: self._alone(x) for x in self.ENDS}
+        self.normalizer, self.pattern = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.breaks: dict[str, bool] = {}
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed_id = feed[0] if not counts and len(feed) == 1 else None
         self.model, self.alphabet = self.tokenizer.model, None
@@ -100,13 +107,25 @@ class UnitEncoder:
         ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
         return len(ids) if self.counts else np.array(ids, "<u4").tobytes()
 
+    def _breaks(self, last: str, mark: str) -> bool:
+        """Whether the library cuts between a letter or digit and a mark; its lower-casing may turn the
+        letter into one followed by a combining character, which joins the mark."""
+        known = self.breaks.get(last + mark)
+        if known is None:
+            text = "a" + last + mark
+            if self.normalizer is not None:
+                text = self.normalizer.normalize_str(text)
+            known = last.isalnum() and self.pattern.pre_tokenize_str(text)[-1][0] == mark
+            self.breaks[last + mark] = known
+        return known
+
     def _learn(self, memory: dict, fresh: set[str], lead: str, clean: bool) -> dict:
         """Values of units not in memory; the short ones are kept."""
         values, ended, plain = {}, [], set()
         for x in fresh:
             if "<|" in x:
                 values[x] = self._alone(lead + x)
-            elif clean and x[-1] in self.ends and x[-2:-1].isalnum():
+            elif clean and x[-1] in self.ends and len(x) > 1 and self._breaks(x[-2], x[-1]):
                 ended.append(x)
                 if x[:-1] not in memory:
                     plain.add(x[:-1])
@@ -207,6 +226,8 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", cache_pa
     see; counts found there aren't computed again and misses are appended. Without it the run
     starts an empty cache in the shared folder. Only one row of each distinct missing content is
     encoded. Null text: empty, 0 bytes, 0 tokens. Repeated rows and null ids are returned as they are.
+    Runs that append to one cache at the same time may store a count twice; the counts are equal, so
+    reading takes either.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -221,6 +242,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", cache_pa
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=_COUNTED.names)
 
     rows = _with_digest(docs)
+    heads = cut(rows.select("doc_id", "n_bytes", "digest"), "digests")
     wanted = rows.select("digest", "content").dropDuplicates(["digest"])
     cached = _read_cache(docs, cache_path, version)
     if cached is not None:
@@ -228,7 +250,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", cache_pa
     misses = wanted.mapInArrow(count, _COUNTED)
     misses.write.mode("append").option("compression", "zstd").parquet(f"{cache_path}/version={version}")
     counts = _read_cache(docs, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.select("doc_id", "n_bytes", "digest").join(counts, "digest").select(
+    return skew_join(heads, counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT_TOKENS).alias("over_limit")
     )
 

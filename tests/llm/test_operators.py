@@ -282,7 +282,8 @@ def test_pii_em_tells_reliable_labelers():
 def hard_texts(rows):
     rng = random.Random(2)
     made = ["".join(rng.choice(["a", "B", " ", "  ", "\n", "\t", "é", "e\u0301", "'s", "1", "<|endoftext|>", "漢", "\u00a0", "\u0085", "\x1c", "Σ", "."]) for _ in range(rng.randrange(25))) for _ in range(1500)]
-    return made + ["", " ", "word " * 30_000] + [r.text for r in rows]
+    marks = ["KADİ. bir", "İ, x", "aİ.", "x İ. y İ, z", "İ.İ,İ"] + [f"w {chr(i)}. {chr(i)}, v" for i in range(0x100, 0x600) if chr(i).isalnum()]
+    return made + marks + ["", " ", "word " * 30_000] + [r.text for r in rows]
 
 
 def test_token_counts(spark, rows, tmp_path):
@@ -320,6 +321,18 @@ def test_token_files(spark, rows, tmp_path):
     assert {r.doc_id: bytes(r.ids) for r in tokens.read_token_files(spark, str(tmp_path / "f"), some).collect()} == {i: bytes(got[i].ids) for i in some}
 
 
+def test_words_end_where_the_library_ends_them():
+    """Every letter and digit before both marks."""
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(file)
+    chars = [chr(i) for i in range(0x32000) if chr(i).isalnum() and not (0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xD7A4)]
+    texts = [f"x {c}. y{c}, z" for c in chars]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert tokens.count_tokens(text, file) == len(want.ids), text
+
+
 # --- 7 near duplicates --------------------------------------------------------------------------
 
 
@@ -388,6 +401,46 @@ def test_top_k(spark):
     assert {r.query_id for r in got} == set(range(0, 900, 100))
 
 
+def best_by_hand(data):
+    """Exact scores in Python integers."""
+    from fractions import Fraction
+
+    whole = [(i, [int(Fraction(x) * 1024 // 1) for x in v]) for i, v in data]
+    out = {}
+    for q, v in whole:
+        if q % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q and len(w) == len(v))
+            out[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])]
+    return out
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(3)
+    data = [(0, [1.0, 0.0]), (1, [2.0**33, 0.0]), (2, [2.0**34, 0.0])]
+    data += [(i, (rng.normal(size=3) * 2.0 ** rng.integers(0, 50)).tolist()) for i in range(100, 260)]
+    data += [(300 + i, (rng.normal(size=3)).tolist()) for i in range(60)]
+    frame = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in data], "vec_id long, embedding array<double>, shard string, score int, dim int")
+    got = {}
+    for r in topk.top_k(frame).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    ends = lambda x: max(-(2**63), min(2**63 - 1, x))
+    assert {q: sorted(v) for q, v in got.items()} == {q: [(k, i, ends(s)) for k, i, s in v] for q, v in best_by_hand(data).items()}
+    assert sorted(got[0])[:2] == [(1, 2, 18014398509481984), (2, 1, 9007199254740992)]
+
+
+def test_top_k_beyond_64_bits_keeps_order(spark):
+    data = [(i, [s * 2.0**e, 0.0]) for i, (s, e) in enumerate([(1, 60), (-1, 1000), (1, 1000), (1, 1023), (-1, 1023), (-1, 60), (1, 0)])]
+    got = sorted((r.rank, r.vec_id) for r in topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect())
+    assert got == [(k + 1, i) for k, i in enumerate([3, 2, 6, 5, 1, 4])]
+
+
+def test_top_k_keeps_the_session_settings(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")).collect()
+    assert spark.conf.get(name) == before
+
+
 def test_top_k_boundary_is_small():
     """The slices, not the exact scores, do the selecting."""
     rng = np.random.default_rng(2)

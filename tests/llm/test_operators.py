@@ -482,6 +482,95 @@ def test_guess_cost_orders_values():
     assert [text[a:b] for a, b, k in secret_scan.scan(text)[1] if k == "guess"] == ["x9$Kq2!vLwz"]
 
 
+def cost_by_hand(value, words):
+    """Every span of every kind, tried for every pair of places."""
+    import math
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in value)
+    plain = "".join(dict(zip("4@301$57", "aaeolsst")).get(c, c) for c in low)
+    draw = lambda c: 1.0 if c.isdigit() else math.log10(26 if c.isalpha() else 33)
+    next_to = {r[i : i + 2] for row in secret_scan.KEY_ROWS for r in (row, row[::-1]) for i in range(len(row) - 1)}
+    day, month, year = "(0[1-9]|[12][0-9]|3[01])", "(0[1-9]|1[0-2])", "(19|20)[0-9][0-9]"
+    dates = [year, f"{year}[-/._]?{month}", f"{year}[-/._]?{month}[-/._]?{day}", f"{day}[-/._]?{month}[-/._]?{year}"]
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        costs = [best[j - 1] + draw(value[j - 1])]
+        for i in range(j):
+            part, size = value[i:j], j - i
+            for form, more in ((low[i:j], 0.0), (plain[i:j], 0.3)):
+                if 3 <= size <= 16 and form in words:
+                    costs.append(best[i] + 0.5 + words[form] + more + 0.3 * (part != low[i:j]))
+            if any(re.fullmatch(d, part) for d in dates):
+                costs.append(best[i] + 0.5 + math.log10(120 * (12 if size > 4 else 1) * (31 if size > 7 else 1)))
+            if 3 <= size <= 256 and all(low[k : k + 2] in next_to for k in range(i, j - 1)):
+                costs.append(best[i] + 0.5 + math.log10(60 * size))
+            for p in range(1, 9):
+                if size % p == 0 and 2 * p <= size <= 256 and part == part[:p] * (size // p):
+                    costs.append(best[i] + 0.5 + sum(map(draw, part[:p])) + math.log10(size // p))
+        best.append(min(costs))
+    return best[-1]
+
+
+def test_guess_cost_is_the_minimum():
+    rng = random.Random(12)
+    parts = ["qwerty", "asdf", "home", "you", "99", "X", "2024", "-01", "31", "P4ssw0rd", "aaa", "abab", "#", "7", "zx", "k", "Tr0ub4", "é", "erinthe", "01012020", "!!", "ytrewq"]
+    known = secret_scan.COMMON | {"erin": 3.0, "inthe": 2.0, "the": 1.2}
+    values = ["qwertyour99X", "asdfghome", "Qwertyou#77", "a", "", "x" * 300, "ab" * 200]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 8))) for _ in range(1500)]
+    values += ["".join(rng.choice("abqw12!Z") for _ in range(rng.randrange(1, 14))) for _ in range(600)]
+    for words in (secret_scan.COMMON, known):
+        for value in values:
+            cost = secret_scan.guess_cost(value, words)
+            assert cost == pytest.approx(cost_by_hand(value, words)), value
+            assert secret_scan.costly(value, words) == (cost >= secret_scan.COSTLY), value
+    assert secret_scan.guess_cost("qwertyour99X") < 8.7 < secret_scan.COSTLY and secret_scan.costly("x" * 5000)
+
+
+def test_corpus_words_are_counted_over_all_texts(spark):
+    texts = ["Alpha beta alpha x", "beta ALPHA " * 500, None, "", "rare"] + [f"{'w' * (i % 9 + 3)}" for i in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    counts = Counter(w for t in texts for w in re.findall("[a-z]+", (t or "").lower()) if 3 <= len(w) <= 16)
+    total = sum(counts.values())
+    found = secret_scan.corpus_words(frame)
+    for w, n in counts.items():
+        assert found[w] == pytest.approx(np.log10(total / n))
+    assert set(found) == set(counts) | set(secret_scan.WORDS)
+
+
+def planted_credentials(seed=21, n=400):
+    """(text, spans of costly values) where fixed patterns don't reach, among cheap values and prose."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    out = []
+    for _ in range(n):
+        value = "".join(rng.choice(letters + "!$%&*#") for _ in range(rng.randrange(12, 24))) + rng.choice("0123456789") + rng.choice("abcdef")
+        cheap = rng.choice(["Summer2024", "password123", "qwertyuiop", "letmein2020", "aaaaaaaaaa", "welcome1", "1234567890"])
+        lead = rng.choice(["The pwd is ", "passphrase: ", 'credentials = "', "Authorization: Bearer ", "client-secret => ", "private_key=", "its passcode was "])
+        kind = rng.randrange(3)
+        said = value if kind == 0 else cheap if kind == 1 else None
+        text = f"It was read in the room. {lead}{said} and so on." if said else "The secret agreement was signed; each token represents something in the password documentation."
+        spans = [(text.index(value), text.index(value) + len(value))] if kind == 0 else []
+        out.append((text, spans))
+    return out
+
+
+def test_planted_credentials_are_found_whole():
+    found = wanted = right = 0
+    for text, spans in planted_credentials():
+        got = [(a, b) for a, b, k in secret_scan.scan(text)[1] if k == secret_scan.ADDED]
+        found, wanted, right = found + len(got), wanted + len(spans), right + len(set(got) & set(spans))
+    assert wanted > 100 and right / wanted >= 0.95 and right / found >= 0.95, (found, wanted, right)
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    text = 'passphrase: x9$Kq2!vLwz token = "abcdef0123456789" ' * 20_000
+    start = time.time()
+    base, spans = secret_scan.scan(text)
+    assert len(spans) - len(base) == 20_000 and time.time() - start < 20
+
+
 @pytest.mark.parametrize(
     ("text", "guessed", "redacted"),
     [

@@ -78,19 +78,25 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 HOT_KEYS = 1000
 
 
-def skew_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``facts`` (one row a key) on ``key``; rows with a null key go.
+def skew_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (at most one row a key, other columns of other names) on ``key``, inner or left.
 
-    Rows of hot keys stay where they are and meet their fact by broadcast (under HOT_KEYS rows); the
-    others are shuffled. ``rows`` should be a written table, as it is read three times.
+    Rows of hot keys stay where they are and meet their fact by broadcast (under HOT_KEYS rows), as do rows
+    with a null key, which meet none; the others are shuffled. ``rows`` should be a written table, as it is
+    read several times.
     """
     least = rows.count() // HOT_KEYS
-    hot = cut(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least).select(key), "hot")
-    if hot.isEmpty():
-        return rows.join(facts, key)
-    known = cut(facts.join(F.broadcast(hot), key), "hot-facts")
-    cold = rows.join(F.broadcast(hot), key, "left_anti").join(facts, key)
-    return rows.join(F.broadcast(known), key).unionByName(cold)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    hot = counts.where(F.col("count") > least).select(key).collect()  # fewer than HOT_KEYS
+    known_key = F.col(key).isNotNull()
+    if not hot:
+        cold = rows.where(known_key).join(facts, key, how)
+        return cold if how == "inner" else rows.where(~known_key).join(facts.limit(0), key, how).unionByName(cold)
+    stay = F.broadcast(rows.sparkSession.createDataFrame(hot, counts.select(key).schema).withColumn("__hot", F.lit(True)))
+    split = rows.join(stay, key, "left")
+    met = F.broadcast(facts.join(stay.drop("__hot"), key))
+    warm = split.where(F.col("__hot") | ~known_key).drop("__hot").join(met, key, how)
+    return warm.unionByName(split.where(F.col("__hot").isNull() & known_key).drop("__hot").join(facts, key, how))
 
 
 def word_count(text: Column) -> Column:

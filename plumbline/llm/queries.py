@@ -104,45 +104,44 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
-def _op3_sql() -> str:
+_PAGE_LABELS = "SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM labels"
+
+
+def op3_sql(pages: str = "pages", labels: str = _PAGE_LABELS) -> str:
+    """The tree level by level, over tables of pages (page_id, url) and labels (page_id, bad)."""
     u = url_filter
     cases = []
     for host, path, verdict in sorted(u.RULES, key=lambda r: -len(r[0] + r[1])):
         cases.append((f"(p.host = '{host}' OR p.host LIKE '%.{host}') AND starts_with(path, '{path}')", host + path, verdict))
     rule = " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in cases)
     verdict = " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in cases)
-    steps = [
-        f"""p0 AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{u._UPPER}', '{u._LOWER}') AS host,
-  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-p1 AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS segs FROM p0),
-p AS (SELECT page_id, host, path, array_to_string(segs[1:{u.LEVELS}], '/') || CASE WHEN len(segs) > {u.LEVELS} THEN '/**' ELSE '' END AS shape FROM p1),
-marks AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-t0 AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS prefix, '' AS above
-  FROM p LEFT JOIN marks USING (page_id) WHERE host <> '' GROUP BY host, shape)"""
-    ]
-    for level in range(u.LEVELS + 1):
-        steps.append(
-            f"""g{level} AS (SELECT *, coalesce(string_split(shape, '/')[{level + 1}], '') AS seg FROM t{level}),
-h{level} AS (SELECT host, prefix, seg, sum(n) AS n_here, sum(sum(n)) OVER (PARTITION BY host, prefix) AS n_all FROM g{level} GROUP BY host, prefix, seg),
-t{level + 1} AS (SELECT g.host, g.shape, g.n, g.labelled, g.bad,
-  g.prefix || CASE WHEN g.seg = '' THEN '' WHEN n_here >= {u.SUPPORT} AND n_here * {u.SHARE} >= n_all THEN '/' || g.seg ELSE '/*' END AS prefix,
-  CASE WHEN g.seg <> '' THEN g.prefix ELSE g.above END AS above
-  FROM g{level} g JOIN h{level} h ON g.host = h.host AND g.prefix = h.prefix AND g.seg = h.seg)"""
-        )
-    steps.append(
-        f"""b AS (SELECT host, above AS parent, prefix AS template, sum(labelled)::DOUBLE AS l, sum(bad)::DOUBLE AS k FROM t{u.LEVELS + 1} GROUP BY ALL),
+    return f"""
+WITH RECURSIVE p0 AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{u._UPPER}', '{u._LOWER}') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM {pages}),
+p AS (SELECT *, array_to_string(list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda s: s <> ''), '/') AS shape FROM p0),
+marks AS (SELECT page_id, max(bad) AS bad FROM ({labels}) WHERE page_id IS NOT NULL AND bad IS NOT NULL GROUP BY page_id),
+shapes AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN marks USING (page_id) WHERE host <> '' GROUP BY host, shape),
+tree AS (
+  SELECT host, shape, n, labelled, bad, '' AS prefix, '' AS above, 1 AS level, false AS ended FROM shapes
+  UNION ALL
+  SELECT host, shape, n, labelled, bad,
+    prefix || CASE WHEN seg = '' THEN '' WHEN n_here >= {u.SUPPORT} AND (n_here * {u.SHARE} >= n_all OR marked >= {u.SMOOTHING}) THEN '/' || seg ELSE '/*' END,
+    CASE WHEN seg = '' THEN above ELSE prefix END, level + 1, seg = ''
+  FROM (SELECT *, sum(n) OVER (PARTITION BY host, prefix, seg) AS n_here, sum(labelled) OVER (PARTITION BY host, prefix, seg) AS marked,
+      sum(n) OVER (PARTITION BY host, prefix) AS n_all
+    FROM (SELECT *, coalesce(string_split(shape, '/')[level], '') AS seg FROM tree WHERE NOT ended))),
+b AS (SELECT host, above AS parent, prefix AS template, sum(labelled)::DOUBLE AS l, sum(bad)::DOUBLE AS k FROM tree WHERE ended GROUP BY ALL),
 c AS (SELECT *, sum(l) OVER w AS al, sum(k) OVER w AS ak FROM b WINDOW w AS (PARTITION BY host, parent)),
 d AS (SELECT *, CASE WHEN l > 0 AND abs(k / l - ak / al) > {u.SIGMAS} * sqrt(ak / al * (1 - ak / al) / l) THEN template ELSE '' END AS grp FROM c),
-e AS (SELECT host, parent, grp, sum(l) AS l, sum(k) AS k FROM d GROUP BY host, parent, grp),
-bad AS (SELECT host, parent, grp FROM e, (SELECT avg(bad::DOUBLE) AS base FROM marks)
-  WHERE l > 0 AND (k + {u.SMOOTHING} * coalesce(base, 0)) / (l + {u.SMOOTHING}) >= {u.REJECT_FROM}),
-rej AS (SELECT t.host, t.shape FROM t{u.LEVELS + 1} t JOIN d ON t.host = d.host AND t.above = d.parent AND t.prefix = d.template
+e AS (SELECT host, parent, grp, sum(l) AS l, sum(k) AS k, any_value(al) AS al, any_value(ak) AS ak FROM d GROUP BY host, parent, grp),
+base AS (SELECT coalesce(avg(bad::DOUBLE), 0) AS r FROM marks),
+bad AS (SELECT host, parent, grp FROM e, base
+  WHERE l > 0 AND (k + {u.SMOOTHING} * (ak + {u.SMOOTHING} * r) / (al + {u.SMOOTHING})) / (l + {u.SMOOTHING}) >= r + (1 - r) * {u.LIFT}),
+rej AS (SELECT t.host, t.shape FROM tree t JOIN d ON t.ended AND t.host = d.host AND t.above = d.parent AND t.prefix = d.template
   JOIN bad ON d.host = bad.host AND d.parent = bad.parent AND d.grp = bad.grp)
 SELECT page_id, p.host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, CASE WHEN rej.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN rej ON p.host = rej.host AND p.shape = rej.shape"""
-    )
-    return "WITH " + ",\n".join(steps[:-1]) + ",\n" + steps[-1]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": _op3_sql(), "op7_near_dedup": OP7_SQL, "op8_topk": OP8_SQL}
+    return {"op3_urls": op3_sql(), "op7_near_dedup": OP7_SQL, "op8_topk": OP8_SQL}

@@ -1,19 +1,23 @@
 """URL filters: fixed host-and-path rules, then a path-template tree judged by labelled purity.
 
 Built from DataFrame operations alone. Per host, a path's segments are generalised in two steps: runs of digits
-become ``*``; then, level by level from the root, a segment that is rare among its siblings and has too
-few labels to be judged on its own (variable, such as a slug) becomes ``*`` as well. Sibling branches whose rates of bad labels don't
-differ significantly from the siblings' pooled rate are merged. A template (or merged group) is rejected
-when its bad rate, smoothed toward the global rate, reaches ``REJECT_FROM``.
+become ``*``; then, node by node from the root, a segment that is rare among its siblings and has too
+few labels to be judged on its own (variable, such as a slug) becomes ``*`` as well. What all paths of a node have
+in common is walked in one step, so the tree reaches the deepest segment in as many levels as paths branch.
 
-The tree goes down to the deepest segment that there is.
+Sibling branches whose rates of bad labels don't differ significantly from the siblings' pooled rate are
+merged. A template (or merged group) is rejected by its labelled purity, 1 less the bad rate: the rate is
+smoothed toward its parent's, the parent's toward the global rate, and it must lie ``LIFT`` of the way from
+the global rate to 1.
 
-Everything after the first aggregation works on (host, shape) counts, not on pages; the pages meet
-the rejected shapes in one equi-join.
+Everything after the first aggregation works on (host, shape) counts, not on pages; the pages meet the rejected
+shapes in one equi-join. Rows of a node, template or shape that holds many of them aren't shuffled by it.
 
 Defined cases: null url or one without ``://``: host and path empty, no rule, no template, allow.
-Repeated page ids are judged each. Several labels of one page: bad if any is. Pages without label
-count in the tree and not in the purity.
+Repeated page ids are judged each; a null page id is judged and bears no label. Several labels of one page: bad if
+any is. Pages without label count in the tree and not in the purity. No labels: every template is allowed.
+A template whose smoothed rate equals the threshold is rejected. Paths of any length are walked to their end.
+An empty table gives an empty result. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, skew_join
 
 # The rules of the registered query, (host, path, verdict).
 RULES = (
@@ -33,15 +37,13 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Levels of the SQL, where what lies deeper is one tail; the tree below has as many as the paths have.
-LEVELS = 3
 #: A segment is kept if its pages are at least SUPPORT, and either 1 in SHARE of its parent's or enough labelled
-#: ones (SMOOTHING) to be judged without its siblings. The SQL knows the share alone.
+#: ones (SMOOTHING) to be judged without its siblings.
 SHARE, SUPPORT = 50, 3
 #: Branches within so many standard errors of the siblings' pooled bad rate are merged.
 SIGMAS = 1.96
-#: Labels that the smoothing counts at the global rate, and the smoothed bad rate that rejects.
-SMOOTHING, REJECT_FROM = 10.0, 0.5
+#: Labels that the smoothing counts at the parent's rate; how far from the global bad rate to 1 rejection begins.
+SMOOTHING, LIFT = 10.0, 1 / 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,46 +71,60 @@ def shape_of(path: Column) -> Column:
     return F.array_join(F.filter(F.split(general, "/"), lambda s: s != ""), "/")
 
 
+def _joined(segments: Column) -> Column:
+    return F.array_join(F.transform(segments, lambda s: F.concat(F.lit("/"), s)), "")
+
+
 def _tree(shapes: DataFrame) -> DataFrame:
     """(host, shape, n, labelled, bad) -> (host, shape, template, parent, labelled, bad), down to the deepest segment."""
-    parts = F.split("shape", "/")
-    rows = shapes.withColumn("prefix", F.lit("")).withColumn("above", F.lit(""))
-    ended, level = [], 0
+    rest = F.filter(F.split("shape", "/"), lambda s: s != "")
+    rows = cut(shapes.select("*", rest.alias("rest"), F.lit("").alias("prefix"), F.lit("").alias("above"), F.col("host").alias("node")), "nodes")
+    ended = []
     while True:
-        segment = F.coalesce(F.get(parts, F.lit(level)), F.lit(""))
-        rows = rows.withColumn("segment", segment)
-        here = rows.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n_here"), F.sum("labelled").alias("marked"))
-        total = here.groupBy("host", "prefix").agg(F.sum("n_here").alias("n_all"))
-        kept = here.join(total, ["host", "prefix"])
+        # how many segments all paths of a node have in common: those of the first and the last in order
+        same = F.zip_with(F.min("rest"), F.max("rest"), lambda a, b: a.eqNullSafe(b))
+        first = F.array_position(same, False)
+        common = F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+        nodes = rows.groupBy("node").agg(common.alias("common"), F.sum("n").alias("n_all"))
+        rows = skew_join(rows, nodes, "node")
+        run = F.slice("rest", F.lit(1), F.col("common"))
+        run = F.when(F.col("n_all") >= SUPPORT, run).otherwise(F.transform(run, lambda _: F.lit("*")))
+        but_last = F.slice(run, F.lit(1), F.greatest(F.col("common") - 1, F.lit(0)))
+        rows = rows.withColumns(
+            {
+                "above": F.when(F.col("common") > 0, F.concat("prefix", _joined(but_last))).otherwise(F.col("above")),
+                "prefix": F.concat("prefix", _joined(run)),
+                "rest": F.slice("rest", F.col("common") + 1, F.size("rest")),
+            }
+        )
+        segment = F.get("rest", F.lit(0))
+        rows = cut(rows.withColumn("child", F.concat("host", "prefix", F.lit("/"), segment)), "level")
+        ended.append(rows.where("child is null"))
+        rows = rows.where("child is not null")
+        children = rows.groupBy("child").agg(F.sum("n").alias("n_here"), F.sum("labelled").alias("marked"))
+        rows = skew_join(rows, children, "child")
         told = (F.col("n_here") * SHARE >= F.col("n_all")) | (F.col("marked") >= SMOOTHING)
-        kept = kept.withColumn("keep", (F.col("n_here") >= SUPPORT) & told)
-        rows = rows.join(kept.select("host", "prefix", "segment", "keep"), ["host", "prefix", "segment"])
-        name = F.when(F.col("segment") == "", F.lit("")).when(F.col("keep"), F.concat(F.lit("/"), "segment")).otherwise(F.lit("/*"))
-        grown = F.col("segment") != ""
-        rows = rows.withColumn("above", F.when(grown, F.col("prefix")).otherwise(F.col("above")))
-        # every level reads its rows twice; written, they are worked out once
-        rows = cut(rows.withColumn("prefix", F.concat("prefix", name)).withColumn("grown", grown).drop("segment", "keep"), "level")
-        ended.append(rows.where(~F.col("grown")))
-        rows = rows.where("grown").drop("grown")
+        name = F.when((F.col("n_here") >= SUPPORT) & told, segment).otherwise(F.lit("*"))
+        rows = rows.withColumn("name", name).withColumn("above", F.col("prefix"))
+        rows = rows.withColumns({"prefix": F.concat("prefix", F.lit("/"), "name"), "rest": F.slice("rest", F.lit(2), F.size("rest"))})
+        rows = cut(rows.withColumn("node", F.concat("host", "prefix")).drop("child", "common", "n_all", "n_here", "marked", "name"), "nodes")
         if rows.isEmpty():
             break
-        level += 1
     rows = reduce(DataFrame.unionByName, ended)
     return rows.select("host", "shape", F.col("prefix").alias("template"), F.col("above").alias("parent"), "labelled", "bad")
 
 
 def rejected_shapes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, shape, template) whose template, after merging, is rejected.
+    """(address, template) of the shapes whose template, after merging, is rejected; the address is host and shape.
 
     pages: (page_id, host, shape); labels: (page_id, bad 0/1), one row a page.
     """
-    marked = pages.join(labels, "page_id", "left")
-    shapes = marked.groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
-    )
-    tree = _tree(cut(shapes, "shapes"))
-    overall = labels.agg(F.avg(F.col("bad").cast("double")).alias("base"))
-    branches = tree.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    seen = pages.select("host", "shape", F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("bad"))
+    marked = pages.join(labels, "page_id").select("host", "shape", F.lit(0).alias("n"), F.lit(1).alias("labelled"), "bad")
+    counted = seen.unionByName(marked).groupBy("host", "shape").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+    tree = cut(_tree(counted).withColumn("place", F.concat("host", "template")), "tree")
+    base = labels.agg(F.avg(F.col("bad").cast("double"))).first()[0] or 0.0  # one number
+    branches = tree.groupBy("host", "parent", "template", "place").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     pooled = branches.groupBy("host", "parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
     branches = branches.join(pooled, ["host", "parent"])
     rate = F.try_divide(F.col("all_bad").cast("double"), F.col("all_labelled"))
@@ -116,13 +132,15 @@ def rejected_shapes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     error = F.sqrt(rate * (1 - rate) / F.col("labelled"))
     apart = F.coalesce(F.abs(own - rate) > SIGMAS * error, F.lit(False))
     branches = cut(branches.withColumn("group", F.when(apart, F.col("template")).otherwise(F.lit(""))), "branches")
-    groups = branches.groupBy("host", "parent", "group").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    # one row, the global bad rate
-    judged = groups.join(F.broadcast(overall))
-    smoothed = (F.col("bad") + SMOOTHING * F.coalesce("base", F.lit(0.0))) / (F.col("labelled") + SMOOTHING)
-    judged = judged.where((smoothed >= REJECT_FROM) & (F.col("labelled") > 0)).select("host", "parent", "group")
-    bad = branches.join(judged, ["host", "parent", "group"]).select("host", "parent", "template")
-    return cut(tree.join(bad, ["host", "parent", "template"]).select("host", "shape", "template"), "rejected")
+    groups = branches.groupBy("host", "parent", "group").agg(
+        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.first("all_labelled").alias("all_labelled"), F.first("all_bad").alias("all_bad")
+    )
+    parents = (F.col("all_bad") + SMOOTHING * F.lit(base)) / (F.col("all_labelled") + SMOOTHING)
+    smoothed = (F.col("bad") + SMOOTHING * parents) / (F.col("labelled") + SMOOTHING)
+    judged = groups.where((smoothed >= base + (1 - base) * LIFT) & (F.col("labelled") > 0)).select("host", "parent", "group")
+    bad = cut(branches.join(judged, ["host", "parent", "group"]).select("place", F.lit(True).alias("rejected")), "rejected")
+    found = skew_join(tree.select("host", "shape", "template", "place"), bad, "place")
+    return cut(found.select(F.concat_ws("/", "host", "shape").alias("address"), "template"), "rejected")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -132,8 +150,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("shape", shape_of(F.col("path"))).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    rows = cut(rows.withColumn("address", F.when(F.col("host") != "", F.concat_ws("/", "host", "shape"))), "pages")
     marks = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     rejected = rejected_shapes(rows.where("host <> ''").select("page_id", "host", "shape"), marks)
-    judged = rows.join(rejected, ["host", "shape"], "left")
+    judged = skew_join(rows.drop("shape"), rejected, "address", "left")
     method = F.when(F.col("template").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"))

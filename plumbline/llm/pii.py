@@ -5,19 +5,24 @@ failing check digit, a wrong digit count) and looser shapes (local phone numbers
 shapes, account numbers, titled or introduced names, street addresses, spelled-out mail addresses). Five labelers (shape, check,
 gazetteer, context before, context after) vote yes, no or nothing on each.
 
-The votes are counted by pattern over the whole corpus: at most 3^5 patterns a kind. Expectation-maximisation over
-these counts gives every labeler's reliability and every pattern's posterior; a logistic regression
-fitted to the posteriors, weighted by the counts, is the final span classifier. Spans it accepts are
-added; the fixed patterns' spans always stay.
+The votes are counted by kind and pattern over the whole corpus: at most 3^5 patterns a kind. Expectation-maximisation
+over these counts gives every labeler's reliability for every kind (drawn toward its reliability over all kinds) and every
+pattern's posterior. The final span classifier is a logistic regression over votes, the span's own shape and the words
+around it, fitted to the posteriors on at most ``PER_PATTERN`` spans of each kind and pattern, weighted by the patterns'
+counts. Spans it accepts are added; the fixed patterns' spans always stay.
 
 Defined cases: null text: empty, nothing found. Whole texts of any length are read. Offsets are code
-points, ends exclusive. Repeated rows are judged alike. No candidates: nothing is added.
+points, ends exclusive. Repeated rows are judged alike. No candidates, as in an empty table: nothing is added. An added
+span doesn't overlap a fixed one; of added spans that overlap the first stays. Columns other than doc_id and text, whatever
+their names, aren't read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from plumbline.llm.common import cut, small_batches
+from plumbline.llm.common import cut, small_batches, unit_hash
 
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("local_phone", "ssn", "iban", "name", "address", "spelled_email")
@@ -35,6 +41,12 @@ LABELERS = ("shape", "check", "gazetteer", "before", "after")
 #: Spans are added from this probability of the final classifier.
 ACCEPT = 0.9
 EM_ROUNDS = 60
+#: Votes that a kind's reliabilities are drawn toward those of all kinds with.
+POOLED = 20.0
+#: Spans of a kind and pattern that the classifier is fitted on, at most; those of the smallest hash.
+PER_PATTERN = 40
+#: Weights of the classifier; features are hashed into them.
+SLOTS = 1 << 14
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -185,8 +197,14 @@ def votes_of(pattern: int) -> list[int]:
     return out[::-1]
 
 
-def reliabilities(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dawid-Skene on vote patterns: (posterior of every pattern, P(vote | class) by class, labeler and vote)."""
+#: Pseudo-counts of the votes -1, 0 and 1 given the classes false and true: labelers are better than chance.
+_PRIOR = np.array([[2.0, 1.0, 0.5], [0.5, 1.0, 2.0]])[:, None, :].repeat(len(LABELERS), axis=1)
+
+
+def reliabilities(patterns: np.ndarray, counts: np.ndarray, prior: np.ndarray = _PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """Dawid-Skene on vote patterns: (posterior of every pattern, P(vote | class) by class, labeler and vote).
+
+    prior: pseudo-counts by class, labeler and vote."""
     table = np.array([votes_of(int(p)) for p in patterns]) + 1
     share = (table - 1).sum(1)
     posterior = np.clip(0.5 + 0.15 * share, 0.05, 0.95)
@@ -194,50 +212,104 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
         chance = np.empty((2, len(LABELERS), 3))
         for c, mass in enumerate((counts * (1 - posterior), counts * posterior)):
             for k in range(len(LABELERS)):
-                seen = np.bincount(table[:, k], mass, 3) + np.array([[2.0, 1.0, 0.5], [0.5, 1.0, 2.0]])[c]
+                seen = np.bincount(table[:, k], mass, 3) + prior[c, k]
                 chance[c, k] = seen / seen.sum()
-        prior = (counts @ posterior + 1) / (counts.sum() + 2)
+        common = (counts @ posterior + 1) / (counts.sum() + 2)
         logs = np.log(chance)[:, np.arange(len(LABELERS))[None, :], table].sum(2)
-        odds = np.log(prior / (1 - prior)) + logs[1] - logs[0]
+        odds = np.log(common / (1 - common)) + logs[1] - logs[0]
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return posterior, chance
 
 
-def _features(kinds: np.ndarray, patterns: np.ndarray) -> np.ndarray:
-    table = np.array([votes_of(int(p)) for p in patterns])
-    parts = [np.ones((len(patterns), 1)), table == 1, table == -1, kinds[:, None] == np.arange(len(KINDS))]
-    return np.concatenate([np.asarray(p, float) for p in parts], axis=1)
+def posteriors(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The posterior of every (kind, pattern): a labeler's reliability is a kind's own, drawn toward that over all kinds."""
+    _, pooled = reliabilities(patterns, counts)
+    out = np.zeros(len(patterns))
+    for kind in np.unique(kinds):
+        at = kinds == kind
+        out[at] = reliabilities(patterns[at], counts[at], prior=_PRIOR + POOLED * pooled)[0]
+    return out
 
 
-def span_classifier(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Acceptance probability of every (kind, pattern): logistic regression on the posteriors, by Newton steps."""
-    posterior, _ = reliabilities(patterns, counts)
-    x = _features(kinds, patterns)
-    weight = np.log1p(counts)
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - posterior)) + 0.01 * w
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w))
-        w -= np.linalg.solve(hessian, gradient)
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+_WORD = re.compile(r"\w+")
+_SHAPES = str.maketrans("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0" * 10 + "A" * 26 + "a" * 26)
 
 
-_SPAN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end", "kind", "base", "pattern")])
+def features(text: str, start: int, end: int, kind: str, given: list[int]) -> list[int]:
+    """Slots of the classifier: the votes, alone and by kind, and by kind the span's shape, size and neighbours."""
+    span = text[start:end]
+    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
+    named = ["bias", f"kind {kind}"]
+    for labeler, vote in zip(LABELERS, given, strict=True):
+        named += [f"{labeler} {vote}", f"{kind} {labeler} {vote}"]
+    shape = re.sub(r"(.)\1+", r"\1+", span[:64].translate(_SHAPES))
+    named += [f"{kind} shape {shape}", f"{kind} size {min(len(span), 40) // 4}"]
+    named += [f"{kind} from {before[-1:]}", f"{kind} to {after[:1]}"]
+    named += [f"{kind} before {w.lower()}" for w in _WORD.findall(before)[-3:]]
+    named += [f"{kind} after {w.lower()}" for w in _WORD.findall(after)[:2]]
+    return sorted({zlib.crc32(x.encode()) % SLOTS for x in named})
+
+
+def fit_classifier(samples: list[tuple[list[int], float, float]]) -> np.ndarray:
+    """Weights of a logistic regression on (slots, posterior, weight), by accelerated gradient steps with a ridge."""
+    row = np.repeat(np.arange(len(samples)), [len(x[0]) for x in samples])
+    slot = np.concatenate([np.array(x[0]) for x in samples])
+    target, weight = np.array([x[1] for x in samples]), np.array([x[2] for x in samples])
+    weight = weight / weight.sum()
+    w = look = np.zeros(SLOTS)
+    step = 4.0 / max(len(x[0]) for x in samples)
+    for i in range(400):
+        margin = np.bincount(row, look[slot], len(samples))
+        off = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target)
+        new = look - step * (np.bincount(slot, off[row], SLOTS) + 1e-4 * look)
+        w, look = new, new + i / (i + 3) * (new - w)
+    return w
+
+
+def probability(slots: list[int], weights: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(weights[slots].sum(), -30, 30))))
+
+
+_SPAN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end", "kind", "base", "pattern")] + [T.StructField("slots", T.ArrayType(T.IntegerType()))])
 _READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("found", T.ArrayType(_SPAN))])
-_SPAN_ARROW = pa.list_(pa.struct([(c, pa.int32()) for c in _SPAN.names]))
+_SPAN_ARROW = pa.list_(pa.struct([(c, pa.int32()) for c in _SPAN.names[:-1]] + [("slots", pa.list_(pa.int32()))]))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for text in batch.column(1).to_pylist():
-            text = text or ""
-            spans = candidates(text)
-            found.append([{"start": a, "end": b, "kind": KINDS.index(k), "base": int(ok), "pattern": pattern_of(votes(text, a, b, k, ok))} for a, b, k, ok in spans])
+            text, spans = text or "", []
+            for a, b, kind, ok in candidates(text):
+                given = votes(text, a, b, kind, ok)
+                spans.append({"start": a, "end": b, "kind": KINDS.index(kind), "base": int(ok), "pattern": pattern_of(given), "slots": features(text, a, b, kind, given)})
+            found.append(spans)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPAN_ARROW)], names=_READ.names)
 
 
+def span_weights(read: DataFrame) -> np.ndarray | None:
+    """Weights of the final classifier from a table of candidates; null where there are none."""
+    spans = read.select("doc_id", F.explode("found").alias("s"))
+    # at most len(KINDS) * 3 ** len(LABELERS) rows
+    tally = spans.groupBy("s.kind", "s.pattern").count().orderBy("kind", "pattern").collect()
+    if not tally:
+        return None
+    kinds, patterns, counts = (np.array([r[i] for r in tally]) for i in range(3))
+    known = {(int(k), int(p)): (x, n) for k, p, n, x in zip(kinds, patterns, counts.tolist(), posteriors(kinds, patterns, counts.astype(float)), strict=True)}
+    sizes = F.broadcast(read.sparkSession.createDataFrame(tally))
+    place = unit_hash(F.col("doc_id"), F.col("s.start"), F.col("s.end"), F.col("s.kind"))
+    flat = spans.select(place.alias("place"), "s.kind", "s.pattern", "s.slots").join(sizes, ["kind", "pattern"])
+    # what lies below the bound is about four times the sample, so that no task orders all spans of a common pattern
+    flat = flat.where(F.col("place") * F.col("count") <= 4 * PER_PATTERN)
+    first = Window.partitionBy("kind", "pattern").orderBy("place", "slots")
+    chosen = flat.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= PER_PATTERN)
+    rows = sorted((r.kind, r.pattern, r.turn, r.slots) for r in chosen.select("kind", "pattern", "turn", "slots").collect())
+    sampled: dict = {}
+    for k, p, _, _ in rows:
+        sampled[k, p] = sampled.get((k, p), 0) + 1
+    return fit_classifier([(slots, known[k, p][0], np.log1p(known[k, p][1]) / sampled[k, p]) for k, p, _, slots in rows])
+
+
 _OUT = T.StructType(
     [T.StructField("doc_id", T.LongType())]
     + [T.StructField(f"n_{k}", T.LongType()) for k in BASE]
@@ -245,14 +317,23 @@ _OUT = T.StructType(
 )
 
 
-def _chosen(found: list[dict], accepted: set[tuple[int, int]]) -> tuple[list, list]:
+def _chosen(found: list[dict], weights: np.ndarray | None) -> tuple[list, list]:
+    """Fixed spans; all spans with those the classifier accepts. found: by start, then kind."""
     base = [(s["start"], s["end"], s["kind"]) for s in found if s["base"]]
-    spans, taken = list(base), list(base)
+    starts, reach = [a for a, _, _ in base], []
+    for _, b, _ in base:
+        reach.append(max(b, reach[-1] if reach else 0))
+    added, last = [], 0
     for s in found:
-        if not s["base"] and (s["kind"], s["pattern"]) in accepted and not any(a < s["end"] and s["start"] < b for a, b, _ in taken):
-            spans.append((s["start"], s["end"], s["kind"]))
-            taken.append(spans[-1])
-    return base, sorted(spans, key=lambda x: (x[0], x[2]))
+        if s["base"] or s["start"] < last:
+            continue
+        # the fixed spans that start before this one ends: does any reach into it?
+        before = bisect.bisect_left(starts, s["end"])
+        if (before and reach[before - 1] > s["start"]) or probability(s["slots"], weights) < ACCEPT:
+            continue
+        added.append((s["start"], s["end"], s["kind"]))
+        last = s["end"]
+    return base, sorted(base + added, key=lambda x: (x[0], x[2]))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -260,12 +341,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     read = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read, _READ), "candidates")
-    spans = read.select(F.explode("found").alias("s"))
-    # at most len(KINDS) * 3 ** len(LABELERS) rows
-    tally = spans.groupBy("s.kind", "s.pattern").count().orderBy("kind", "pattern").collect()
-    kinds, patterns, counts = (np.array([r[i] for r in tally]) for i in range(3))
-    sure = span_classifier(kinds, patterns, counts.astype(float)) >= ACCEPT if tally else []
-    accepted = {(int(k), int(p)) for k, p, ok in zip(kinds, patterns, sure, strict=True) if ok}
+    shared = spark.sparkContext.broadcast(span_weights(read))  # SLOTS numbers
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def listed(found: list) -> str:
@@ -274,7 +350,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for found in batch.column(1).to_pylist():
-                base, chosen = _chosen(found, accepted)
+                base, chosen = _chosen(found, shared.value)
                 of = [k for _, _, k in base]
                 rows.append([*(of.count(i) for i in range(len(BASE))), hashlib.sha256(listed(base).encode()).hexdigest(), listed(chosen)])
             types = [pa.int64()] * len(BASE) + [pa.string()] * 2

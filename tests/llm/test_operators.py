@@ -320,6 +320,92 @@ def test_pii_em_tells_reliable_labelers():
     assert np.allclose(right, (0.95, 0.9, 0.85, 0.6, 0.55), atol=0.05)
 
 
+def iban(rng, right=True):
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int(body + "131400") % 97  # DE00
+    check = check if right else (check + 5) % 97 + 1
+    raw = f"DE{check:02d}{body}"
+    return " ".join(raw[i : i + 4] for i in range(0, 22, 4))
+
+
+def planted_people(seed=17, n=1500):
+    """(text, {(start, end, kind)}): personal data of the loose kinds, and what looks like it."""
+    rng = random.Random(seed)
+    d = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    given, family = ["Anna", "Peter", "Maria", "Daniel", "Claire", "Hans"], ["Keller", "Moreau", "Castillo", "Brown"]
+    filler = "the report covers rivers and harbours in the north where trade was slow that year".split()
+    out = []
+    for _ in range(n):
+        true = [
+            ("ssn", "His social security number is ", f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", "."),
+            ("local_phone", "Please call the phone ", f"({d(3)}) {d(3)}-{d(4)}", " today"),
+            ("iban", "Pay to account IBAN ", iban(rng), ", thanks"),
+            ("name", "Best regards, dear Mrs. ", f"{rng.choice(given)} {rng.choice(family)}", ", and"),
+            ("address", "The family lives at address ", f"{rng.randrange(1, 300)} {rng.choice(['Oak', 'River', 'Mill'])} Street", ", ship"),
+            ("spelled_email", "Write a mail to contact ", f"{rng.choice(given).lower()}.{rng.choice(family).lower()} [at] example [dot] org", " now"),
+        ]
+        false = [
+            ("ssn", "Ticket x", f"000-{rng.randrange(10, 99)}-0000", "% of"),
+            ("iban", "Serial", " " + iban(rng, right=False), "% x"),
+            ("name", "It was said that Dr. ", "Pepper Bottle Works", "9 opened"),
+            ("local_phone", "Ratio", " 111.111.1111", "% was"),
+        ]
+        kind, lead, span, tail = rng.choice(true if rng.random() < 0.55 else false)
+        real = (kind, lead, span, tail) in true
+        text = " ".join(rng.choices(filler, k=rng.randrange(4, 20))) + ". " + lead
+        at = len(text) + (len(span) - len(span.lstrip()))
+        text += span + tail + " " + " ".join(rng.choices(filler, k=6))
+        out.append((text, {(at, at + len(span.strip()), kind)} if real else set()))
+    return out
+
+
+def test_pii_finds_planted_people(spark):
+    made = planted_people()
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    found, wanted, right = Counter(), Counter(), Counter()
+    for r in pii.personal_data(frame).collect():
+        got = {(int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)}
+        got = {x for x in got if x[2] in pii.LOOSE}
+        want = made[r.doc_id][1]
+        for counter, spans in ((found, got), (wanted, want), (right, got & want)):
+            counter.update(k for _, _, k in spans)
+    recall = {k: right[k] / wanted[k] for k in wanted}
+    precision = {k: right[k] / found[k] for k in found}
+    assert set(wanted) == set(pii.LOOSE)
+    assert min(recall.values()) >= 0.9 and min(precision.values()) >= 0.9, (recall, precision)
+
+
+def test_pii_reliabilities_are_a_kinds_own():
+    """A labeler that is right for one kind and wrong for another."""
+    rng = np.random.default_rng(4)
+    kinds = np.repeat([4, 5], 10_000)
+    truth = rng.random(20_000) < 0.5
+    right = np.stack([rng.random(20_000) < p for p in (0.9, 0.9, 0.85, 0.85)], 1)
+    odd_one = rng.random(20_000) < np.where(kinds == 4, 0.95, 0.2)
+    votes = np.where(np.column_stack([right, odd_one]) == truth[:, None], 1, -1)
+    codes = np.array([pii.pattern_of(v) for v in votes])
+    keys, counts = np.unique(np.stack([kinds, codes], 1), axis=0, return_counts=True)
+    sure = dict(zip(map(tuple, keys.tolist()), pii.posteriors(keys[:, 0], keys[:, 1], counts.astype(float))))
+    judged = np.array([sure[k, c] for k, c in zip(kinds.tolist(), codes.tolist())]) >= 0.5
+    assert (judged == truth)[kinds == 4].mean() > 0.96 and (judged == truth)[kinds == 5].mean() > 0.94
+
+
+def test_pii_many_spans_take_time_in_proportion():
+    import time
+
+    text = "Pay IBAN DE89 3704 0044 0532 0130 00, mail a@b.com. " * 30_000
+    start = time.time()
+    found = [{"start": a, "end": b, "kind": pii.KINDS.index(k), "base": int(ok), "slots": [1]} for a, b, k, ok in pii.candidates(text)]
+    base, chosen = pii._chosen(found, np.full(pii.SLOTS, 9.0))
+    assert len(base) >= 30_000 and len(chosen) >= len(base) + 30_000 and time.time() - start < 20
+
+
+def test_pii_added_spans_leave_fixed_ones_alone():
+    spans = [(0, 5, 0, 1), (3, 8, 4, 0), (5, 9, 4, 0), (8, 12, 5, 0), (9, 11, 4, 0), (10, 30, 3, 1), (12, 14, 5, 0), (30, 33, 4, 0)]
+    found = [{"start": a, "end": b, "kind": k, "base": ok, "slots": [0]} for a, b, k, ok in spans]
+    assert pii._chosen(found, np.full(1, 9.0))[1] == [(0, 5, 0), (5, 9, 4), (10, 30, 3), (30, 33, 4)]
+
+
 # --- 6 and 10 tokens ----------------------------------------------------------------------------
 
 

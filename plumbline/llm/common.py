@@ -78,15 +78,15 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 HOT_KEYS = 1000
 
 
-def skew_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def skew_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``facts`` (at most one row a key, other columns of other names) on ``key``, inner or left.
 
     Rows of hot keys stay where they are and meet their fact by broadcast (under HOT_KEYS rows), as do rows
     with a null key, which meet none; the others are shuffled. ``rows`` should be a written table, as it is
-    read several times.
+    read several times. sizes: (key, count) of the rows, where it is known already.
     """
     least = rows.count() // HOT_KEYS
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count() if sizes is None else sizes
     hot = counts.where(F.col("count") > least).select(key).collect()  # fewer than HOT_KEYS
     known_key = F.col(key).isNotNull()
     if not hot:

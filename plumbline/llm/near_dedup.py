@@ -8,19 +8,22 @@ Work is done on *classes* (texts with equal shingle sets), so exact copies cost
 their signature.  Inside a bucket nothing is paired with everything:
 
 1. every class is compared with one representative, the class that shares the most buckets
-   (the original, in a group of edited copies), on full shingle sets;
-2. the classes that a representative refused are compared with all that were compared with it, in
-   blocks of bounded size: nothing is emitted but links that join components;
-3. what shares a bucket with another component under another representative is paired where it shares
-   one of its rarest shingles (the prefix filter, which loses no pair); buckets and shingles whose
-   members are one component already are dropped by an aggregation.
+   (the original, in a group of edited copies), on full shingle sets; what a representative refused gets a
+   representative of its own, for as long as most of the refused find theirs;
+2. what shares a bucket with another component is paired where it shares one of its rarest shingles (the
+   prefix filter, which loses no pair); buckets and shingles whose members are one component already are
+   dropped by an aggregation. Where one shingle would make more than ``PAIRS`` pairs, its members are compared
+   in blocks of bounded size that emit nothing but links that join components.
 
-All steps run over all buckets without a cap.
+All steps run over all buckets without a cap. Keys that hold many rows (a bucket, a representative, a shingle, a
+class of copies) are split: their facts are broadcast, under 1000 narrow rows, or their sets are copied
+to as many salts as their rows need.
 
 Defined cases: null or wordless text: an empty set, linked with nothing, kept, its component is its
 own doc_id. Repeated rows: one class; each row is returned. Null doc_id: the row takes part, its
 component is the smallest doc_id that is not null (null if there is none), ``kept`` is false where
-the group has an id and true where it has none.
+the group has an id and true where it has none. Empty table: empty result. Other columns, whatever their names, aren't
+read by :func:`near_duplicates` and pass through :func:`drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -35,15 +38,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import Texts, cut, keyed, mix64, shingle_hashes, slices, small_batches
+from plumbline.llm.common import Texts, cut, keyed, mix64, shingle_hashes, skew_join, slices, small_batches
 
 PERMUTATIONS = 64
 #: Permutations of a band; each gives its minimum and its maximum.
 BAND = 2
 #: Link when 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
-#: Shingles of the refused classes that one task compares at a time, about.
+#: Shingles of the classes that one task holds and compares at a time, about.
 BLOCK_SHINGLES = 1 << 19
+#: Pairs of one shingle that are emitted; the members of a shingle with more are compared in blocks.
+PAIRS = 1 << 16
+#: Pairs that meet one copy of a class's set.
+SALT_PAIRS = 1 << 12
 
 _FLIP = keyed(PERMUTATIONS, seed=1)[:, None]
 _SCALE = (keyed(PERMUTATIONS, seed=2) | np.uint64(1))[:, None]
@@ -132,12 +139,24 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))  # rows may repeat an id with its text
 
 
+def _salted(pairs: DataFrame, sets: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, ..), a written table, with a salt of one side, and the sets of that side, each copied to as
+    many salts as its pairs need."""
+    salt = f"salt_{side}"
+    sizes = pairs.groupBy(side).count()
+    salts = sizes.select(side, F.ceil(F.col("count") / SALT_PAIRS).cast("int").alias(salt))
+    dealt = skew_join(pairs, salts, side, sizes=sizes).withColumn(salt, F.pmod(F.xxhash64("a", "b"), salt).cast("int"))
+    copies = sets.join(salts, sets.cls == salts[side])
+    return dealt, copies.select(side, F.explode(F.sequence(F.lit(0), F.col(salt) - 1)).alias(salt), F.col("shingles").alias(f"of_{side}"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose full shingle sets are similar enough."""
+    """Of pairs (a, b) of classes, a written table, those whose full shingle sets are similar enough."""
     n_a, n_b = F.size("of_a").cast("long"), F.size("of_b").cast("long")
     common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    met = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a")), "a")
-    met = met.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b")), "b")
+    dealt, of_a = _salted(pairs, sets, "a")
+    dealt, of_b = _salted(cut(dealt, "dealt"), sets, "b")
+    met = dealt.join(of_a, ["a", "salt_a"]).join(of_b, ["b", "salt_b"])
     met = met.where(F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * SIMILAR)
     met = met.select("a", "b", (n_a + n_b).alias("n"), common.alias("common"))
     return met.where(F.col("common") * 100 >= (F.col("n") - F.col("common")) * SIMILAR).select("a", "b")
@@ -210,52 +229,55 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=_LINK.names)
 
 
-def _within_hubs(stars: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join components among the classes with one representative.
+def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components among the members of every group.
 
-    stars: (cls, hub). Classes outside the hub's component are held in blocks of about BLOCK_SHINGLES and met
-    by every class of that hub.
+    members: (hub, cls, comp, few, n), hub naming the group, n the class's shingles. The few are held in
+    blocks of about BLOCK_SHINGLES and met by every member of their group.
     """
-    known = labels.select(F.col("node").alias("cls"), "comp")
-    ours = stars.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    theirs = labels.select(F.col("node").alias("hub"), F.col("comp").alias("main"))
-    ours = ours.join(theirs, "hub", "left").withColumn("refused", F.col("comp") != F.coalesce("main", "hub"))
-    rows = ours.join(sets, "cls").select("hub", "cls", "comp", "refused", "shingles")
-    hubs = ours.join(sets.select("cls", F.size("shingles").alias("n")), "cls").groupBy("hub")
-    hubs = hubs.agg(F.sum(F.when(F.col("refused"), F.col("n"))).alias("n"), F.count("*").alias("many"))
-    hubs = hubs.where("n > 0 and many > 1").select("hub", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
-    rows = rows.join(hubs, "hub")
-    held = rows.where("refused").select("hub", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.lit(0).alias("side"), "cls", "comp", "shingles")
+    held_shingles = F.sum(F.when(F.col("few"), F.col("n")))
+    blocks = members.groupBy("hub").agg(F.ceil(held_shingles / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    rows = cut(members.join(blocks, "hub"), "heavy").join(sets, "cls")
+    held = rows.where("few").select("hub", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.lit(0).alias("side"), "cls", "comp", "shingles")
     met = rows.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cls", "comp", "shingles")
     both = held.unionByName(met).repartition("hub", "block").sortWithinPartitions("hub", "block", "side")
     return both.select(*_ROWS.names).mapInArrow(_compare_blocks, _LINK)
 
 
-def _crossing(open_sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components and representatives that can be similar: they share one of
-    their rarest shingles.
+def _crossing(open_sets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components.
 
-    open_sets: (cls, comp, hub, shingles). Sets of Jaccard similarity t share a shingle among the first
+    open_sets: (cls, comp, shingles), a written table. Sets of Jaccard similarity t share a shingle among the first
     n - ceil(t n) + 1 of either in any common order; in the order of frequency most of these belong to
     one set alone and pair with nothing, as do the edits of a copy that is too far from all others.
     Within a shingle, members of its most frequent component aren't compared with each other.
     """
-    rows = open_sets.select("cls", "comp", "hub", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    shared = cut(rows.join(counts, "shingle"), "shared")
+    rows = open_sets.select("cls", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    counts = cut(rows.groupBy("shingle").count().where("count > 1"), "shingle-counts")
+    shared = cut(skew_join(rows, counts.withColumnRenamed("count", "df"), "shingle", sizes=counts), "shared")
     by_class = Window.partitionBy("cls")
     place = F.row_number().over(by_class.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(by_class)
     prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1
-    first = cut(shared.withColumn("place", place).where(F.col("place") <= prefix).select("cls", "comp", "hub", "n", "shingle"), "prefixes")
+    first = cut(shared.withColumn("place", place).where(F.col("place") <= prefix).select("cls", "comp", "n", "shingle"), "prefixes")
     tally = first.groupBy("shingle", "comp").count().groupBy("shingle")
-    tally = tally.agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    first = cut(first.join(tally.select("shingle", F.col("most.comp").alias("main")), "shingle"), "prefixes")
-    few = first.where("comp <> main").select("shingle", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("hub").alias("hub_a"), F.col("n").alias("n_a"))
-    every = first.select("shingle", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("hub").alias("hub_b"), F.col("n").alias("n_b"), "main")
-    once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    tally = tally.agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("count").alias("every"))
+    tally = cut(tally.where("comps > 1").select("shingle", "every", F.col("most.comp").alias("main"), (F.col("every") - F.col("most.count")).alias("others")), "tally")
+    first = skew_join(first, tally, "shingle", sizes=tally.select("shingle", F.col("every").alias("count")))
+    first = cut(first.withColumn("few", F.col("comp") != F.col("main")), "prefixes")
+    heavy = F.col("others") * F.col("every") > PAIRS
+
+    light = first.where(~heavy)
+    few = light.where("few").select("shingle", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
+    every = light.select("shingle", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("few").alias("both"))
+    once = ~F.col("both") | (F.col("a") < F.col("b"))
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR
-    met = few.join(every, "shingle").where((F.col("comp_a") != F.col("comp_b")) & (F.col("hub_a") != F.col("hub_b")) & once & sizes)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = few.join(every, "shingle").where((F.col("comp_a") != F.col("comp_b")) & once & sizes)
+    links = _confirmed(cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"), sets)
+    crowd = first.where(heavy)
+    if crowd.isEmpty():
+        return links
+    hub = F.encode(F.col("shingle").cast("string"), "UTF-8").alias("hub")
+    return links.unionByName(_in_blocks(crowd.select(hub, "cls", "comp", "few", "n"), sets))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -287,6 +309,14 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, members.cls == labels.node, "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
 
 
+def _refused(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of stars (cls, hub, weight), a written table, the classes outside their representative's component."""
+    main = labels.select(F.col("node").alias("hub"), F.col("comp").alias("main"))
+    known = labels.select(F.col("node").alias("cls"), "comp")
+    met = skew_join(stars, main, "hub", "left").join(known, "cls", "left")
+    return met.where(F.coalesce("comp", "cls") != F.coalesce("main", "hub")).select("cls", "hub", "weight")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, text_key.
 
@@ -294,57 +324,63 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     signed = cut(_keyed_texts(docs).mapInArrow(_sign, _SIGNED), "signatures")
-    real = signed.where("cls is not null")
-    classes = real.groupBy("cls").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("least_id")
+    classes = signed.where("cls is not null").groupBy("cls").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")
     )
     classes = cut(classes, "classes")
-    by_key = Window.partitionBy("key")
-    members = real.select(F.explode("bands").alias("key"), "cls").distinct()
-    members = members.withColumn("reach", F.count("*").over(by_key)).where("reach > 1")
-    members = cut(members, "buckets")
+    pairs = classes.select(F.explode("bands").alias("key"), "cls")
+    reach = cut(pairs.groupBy("key").count().where("count > 1"), "reach")
+    members = cut(skew_join(pairs, reach.withColumnRenamed("count", "reach"), "key", sizes=reach), "buckets")
 
     # 1. a star in every bucket, around the class that shares the most
     central = members.groupBy("cls").agg(F.sum("reach").alias("weight"))
-    hub = F.max(F.struct("weight", "cls")).over(by_key)["cls"]
-    offers = members.join(central, "cls").select("key", "cls", "weight", hub.alias("hub"), F.max("weight").over(by_key).alias("top"))
-    stars = offers.where("cls <> hub").groupBy("cls").agg(F.max(F.struct("top", "hub")).alias("best"))
-    shared = members.select("cls").distinct()
-    sets = cut(_full_sets(docs, classes.join(shared, "cls").select("cls", "row")), "sets")
-    stars = cut(stars.select("cls", F.col("best.hub").alias("hub")), "stars")
-    links = cut(_confirmed(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), sets), "links")
+    sets = cut(_full_sets(docs, classes.join(central.select("cls"), "cls").select("cls", "row")), "sets")
+    offers = cut(members.select("key", "cls").join(central, "cls"), "offers")
+    tops = offers.groupBy("key").agg(F.max(F.struct("weight", F.col("cls").alias("hub"))).alias("top"))
+    offers = skew_join(offers, tops, "key", sizes=reach)
+    stars = offers.where(F.col("cls") != F.col("top.hub")).groupBy("cls").agg(F.max("top").alias("top"), F.first("weight").alias("weight"))
+    stars = cut(stars.select("cls", F.col("top.hub").alias("hub"), "weight"), "stars")
+    links = cut(_confirmed(cut(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "pairs"), sets), "links")
     labels = components(links)
-
-    # 2. what a representative refused, against all that it was compared with
-    within = cut(_within_hubs(stars, labels, sets), "links")
-    if within.limit(1).count():
-        links = links.unionByName(within)
-        labels = components(links)
-
-    # 3. what shares a bucket with another component under another representative
-    marked = _labelled(members, labels)
+    while True:
+        refused = cut(_refused(stars, labels), "refused")
+        tops = refused.groupBy("hub").agg(F.max(F.struct("weight", "cls")).alias("top"))
+        again = skew_join(refused, tops, "hub").where(F.col("cls") != F.col("top.cls"))
+        stars = cut(again.select("cls", F.col("top.cls").alias("hub"), "weight"), "stars")
+        asked = stars.count()
+        if not asked:
+            break
+        found = cut(_confirmed(cut(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "pairs"), sets), "links")
+        n = found.count()
+        if n:
+            links = links.unionByName(found)
+            labels = components(links)
+        if 2 * n < asked:
+            break
+
+    # 2. what shares a bucket with another component
+    marked = cut(_labelled(members, labels), "marked")
     open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    marked = marked.join(open_keys, "key", "left_semi").select("cls", "comp").distinct()
-    marked = marked.join(stars, "cls", "left").withColumn("hub", F.coalesce("hub", "cls"))
-    more = cut(_confirmed(_crossing(sets.join(marked, "cls")), sets), "links")
-    if more.limit(1).count():
+    marked = skew_join(marked, open_keys, "key", sizes=reach).select("cls", "comp").distinct()
+    more = cut(_crossing(cut(sets.join(marked, "cls"), "open"), sets), "links")
+    if not more.isEmpty():
         labels = components(links.unionByName(more))
 
     grouped = classes.join(labels, classes.cls == labels.node, "left").select(
         "cls", "least_id", F.coalesce("comp", "cls").alias("comp")
     )
     smallest = grouped.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    ids = grouped.join(smallest, "comp").select("cls", "component_id")
+    ids = cut(grouped.join(smallest, "comp").select("cls", "component_id"), "ids")
     alone = F.col("cls").isNull()
     component: Column = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return signed.join(ids, "cls", "left").select(
+    return skew_join(signed.drop("bands"), ids, "cls", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key"
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that aren't the smallest id of their group; all columns stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    here = docs.withColumn("__text_key", F.xxhash64("text"))
-    match = (F.col("__text_key") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    return here.join(gone, match, "left_anti").drop("__text_key")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id"), "text_key").distinct()
+    here = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("of"), F.xxhash64(docs["text"]).alias("key"))
+    kept = here.join(gone, (F.col("key") == F.col("text_key")) & F.col("of").eqNullSafe(F.col("id")), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

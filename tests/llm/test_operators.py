@@ -511,6 +511,38 @@ def test_near_duplicates(spark, docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def families(seed=40):
+    """Families that one original refuses: each member of a family is like its own, hardly like the original; two families
+    that overlap at the threshold; one passage that many unlike texts hold."""
+    rng = random.Random(seed)
+    original = [f"o{k}" for k in range(100)]
+    texts = []
+    for f in range(4):
+        base = original[:66] + [f"f{f}x{k}" for k in range(34)]
+        for _ in range(25):
+            one = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                one[rng.randrange(100)] = f"e{rng.random()}"
+            texts.append(" ".join(one))
+    for k in range(20):
+        near = original[: 100 - k] + [f"n{k}y{j}" for j in range(k)]
+        texts.append(" ".join(near))
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts += [passage + " " + " ".join(f"u{i}z{k}" for k in range(rng.randrange(1, 25))) for i in range(60)]
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("pairs", [1, 1 << 16])
+def test_near_duplicates_of_families(spark, monkeypatch, pairs):
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs)  # 1: every shingle that is left is compared in blocks
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(near_dedup, "SALT_PAIRS", 8)
+    texts = families()
+    want = groups_by_hand(texts)
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+
+
 # --- 8 top k --------------------------------------------------------------------------------------
 
 

@@ -82,13 +82,51 @@ def test_mix_meets_targets(docs, rows):
 
 
 def test_mix_rates_are_the_entropy_optimum(docs):
-    """At the optimum log(r / (CAP - r)) is linear in size within a source."""
-    rated = mixing.mix(docs).where("rate > 0.01 and rate < 2.99").join(docs.select("doc_id", "source"), "doc_id").collect()
+    """Least sum of r log r - r under the target: r = exp(lambda * size) below CAP, CAP where that is above."""
+    rated = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").where("target < 3 * source_size").collect()
     by = {}
     for r in rated:
-        by.setdefault(r.source, []).append((r.size, np.log(r.rate / (3 - r.rate)) + np.log(2)))
-    slopes = [np.array([y / x for x, y in v if x]) for v in by.values() if len(v) > 2]
-    assert slopes and all(np.ptp(s) < 1e-6 * max(1, abs(s).max()) for s in slopes)
+        by.setdefault(r.source, []).append(r)
+    assert len(by) > 1
+    for v in by.values():
+        lams = [np.log(r.rate) / r.size for r in v if r.size and 1e-300 < r.rate < 3]
+        lam = np.median(lams)
+        assert np.ptp(lams) < 1e-9 * max(1, abs(lam)) + 1e-12
+        assert all(r.rate == pytest.approx(min(3.0, np.exp(lam * r.size)), rel=1e-6, abs=1e-9) for r in v)
+        assert sum(r.rate * r.size for r in v) == pytest.approx(v[0].target, rel=1e-6)
+
+
+def test_tilt_reaches_every_target():
+    """Among them one giant and many small documents, near both ends."""
+    tables = [([3_000_000, 100], [1, 30_000]), ([1_000_000, 300], [1, 9000]), ([1], [5]), ([0, 7], [3, 2]), ([5, 50, 500, 5000], [9, 9, 9, 9])]
+    for sizes, counts in tables:
+        size, count = np.array(sizes), np.array(counts)
+        for share in (1e-6, 0.01, 0.4, 1.0, 2.2, 2.95, 2.999999):
+            target = share * float(size @ count)
+            rate = np.minimum(3.0, np.exp(np.minimum(700, mixing.tilt(size, count, target) * size)))
+            assert float((size * count) @ rate) == pytest.approx(target, rel=1e-6), (sizes, share)
+
+
+def test_mix_of_a_giant_comes_near_its_target(spark):
+    data = [(0, "w " * 300_000, "a")] + [(i, "w " * 100, "a") for i in range(1, 3001)] + [(9000 + i, "w " * 200, "b") for i in range(200)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    target = {9000 <= r.doc_id: r.target for r in got}
+    taken = Counter()
+    for r in got:
+        taken[9000 <= r.doc_id] += r.taken
+    assert all(abs(taken[k] - t) <= 150_000 for k, t in target.items())
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(9)
+    for n, most in ((1, 9), (5, 1000), (700, 100_000)):
+        sizes = {f"s{i}": int(rng.random() ** 6 * most) for i in range(n)} | {None: rng.randrange(most)}
+        frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        want = targets_by_steps(sizes)
+        for r in mixing.capped_targets(frame).collect():
+            assert r.target == pytest.approx(want[r.source]), (n, r.source)
+    nothing = spark.createDataFrame([("a", 0), (None, 0)], "source string, source_size long")
+    assert [r.target for r in mixing.capped_targets(nothing).collect()] == [0.0, 0.0]
 
 
 def test_take_mix_repeats_rows(docs):

@@ -87,16 +87,15 @@ def skew_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", s
     """
     least = rows.count() // HOT_KEYS
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).count() if sizes is None else sizes
-    hot = counts.where(F.col("count") > least).select(key).collect()  # fewer than HOT_KEYS
-    known_key = F.col(key).isNotNull()
-    if not hot:
-        cold = rows.where(known_key).join(facts, key, how)
-        return cold if how == "inner" else rows.where(~known_key).join(facts.limit(0), key, how).unionByName(cold)
-    stay = F.broadcast(rows.sparkSession.createDataFrame(hot, counts.select(key).schema).withColumn("__hot", F.lit(True)))
-    split = rows.join(stay, key, "left")
-    met = F.broadcast(facts.join(stay.drop("__hot"), key))
-    warm = split.where(F.col("__hot") | ~known_key).drop("__hot").join(met, key, how)
-    return warm.unionByName(split.where(F.col("__hot").isNull() & known_key).drop("__hot").join(facts, key, how))
+    hot = [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]  # fewer than HOT_KEYS
+    hot = [bytes(x) if isinstance(x, bytearray) else x for x in hot]
+    known = F.col(key).isNotNull()
+    often = F.col(key).isin(hot)
+    cold = rows.where(known & ~often).join(facts, key, how)
+    warm = rows.where((known & often) if how == "inner" else (~known | often))
+    if not hot and how == "inner":
+        return cold
+    return warm.join(F.broadcast(facts.where(often)), key, how).unionByName(cold)
 
 
 def word_count(text: Column) -> Column:

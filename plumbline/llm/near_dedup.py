@@ -50,7 +50,7 @@ BLOCK_SHINGLES = 1 << 19
 #: Pairs of one shingle that are emitted; the members of a shingle with more are compared in blocks.
 PAIRS = 1 << 16
 #: Pairs that meet one copy of a class's set.
-SALT_PAIRS = 1 << 12
+SALT_PAIRS = 1 << 9
 
 _FLIP = keyed(PERMUTATIONS, seed=1)[:, None]
 _SCALE = (keyed(PERMUTATIONS, seed=2) | np.uint64(1))[:, None]

@@ -15,7 +15,9 @@ Encoding a corpus folds the most frequent distinct words, at most ``DICTIONARY_W
 encoded where it is met, by the library, so results are whole at every size.
 
 Defined cases: null text: no pieces (ids empty). Empty text: no pieces. Characters that no piece
-covers become byte pieces. Repeated rows are encoded alike.
+covers become byte pieces. Repeated rows are encoded alike; null doc_ids too. Texts of any length are read whole. A mark
+U+2581 that stands in the text itself is a space to the vocabulary, as to the library, and decodes to one. Of merges
+that score alike the leftmost is made. An empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, small_batches
+from plumbline.llm.common import cut, small_batches, unit_hash
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -196,18 +198,21 @@ def word_dictionary(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(word, ids): the most frequent distinct words of the whole corpus, folded over the lattice.
 
     The words whose counts lie in the highest classes (64 for each doubling, so at most some 4,000 in all) that
-    hold no more than DICTIONARY_WORDS together; no task or driver sees more than the classes' sizes to find them."""
+    hold about DICTIONARY_WORDS together, of the lowest class a share; no task or driver sees more than the classes'
+    sizes to find them."""
     spark = docs.sparkSession
     small_batches(spark)
     counts = docs.select("text").mapInArrow(_count_words(model), _WORDS).groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts.select("word", F.floor(F.log2("n") * 64).cast("int").alias("class")), "words")
-    lowest, room = None, DICTIONARY_WORDS
+    lowest, share, room = None, 0.0, DICTIONARY_WORDS
     for row in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        lowest, share = row["class"], min(1.0, room / row["count"])
         room -= row["count"]
-        if room < 0:
+        if room <= 0:
             break
-        lowest = row["class"]
-    words = counts.where(F.lit(False) if lowest is None else F.col("class") >= lowest).select("word")
+    # of the lowest class, as many words as there is room for, by a hash
+    fits = F.lit(False) if lowest is None else (F.col("class") > lowest) | ((F.col("class") == lowest) & (unit_hash(F.col("word")) < share))
+    words = counts.where(fits).select("word")
     n = max(1, min(DICTIONARY_WORDS // 1000, spark.sparkContext.defaultParallelism * 4))
     pieces = piece_table(spark, model)
     longest = 16

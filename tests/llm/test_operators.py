@@ -164,6 +164,18 @@ def test_dictionary_covers_most_words_by_the_fold(docs, rows):
             assert np.frombuffer(pieces.encode_word(w), "<i4").tolist() == known[w], w
 
 
+def test_dictionary_takes_a_share_of_a_large_class(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "DICTIONARY_WORDS", 500)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"] * 2 + ["often"] * 9
+    found = [r.word for r in pieces.word_dictionary(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).collect()]
+    assert 400 <= len(found) <= 600 and len(set(found)) == len(found) and pieces.MARK + "often" in found
+
+
+def test_marks_in_a_text_decode_to_spaces(spark):
+    frame = spark.createDataFrame([(1, "a\u2581b"), (None, "c d")], "doc_id long, text string")
+    assert sorted(r.decoded for r in queries.with_decoded(pieces.encode(frame)).collect()) == ["a b", "c d"]
+
+
 def test_viterbi_fold_finds_the_best_path(spark):
     rng = random.Random(5)
     table_ = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))): -rng.random() * 9 for _ in range(14)} | {c: -8.0 - i for i, c in enumerate("abc")}

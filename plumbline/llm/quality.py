@@ -8,7 +8,9 @@ corpus's own class ratio, and applied in Arrow batches against the fixed thresho
 
 Defined cases: null or wordless text: all counts 0 and ``base_failed`` (fewer than 10 words).
 No labels, or labels of one class only: the model accepts everything. Repeated rows are judged
-alike, each on its own. Columns other than doc_id and text aren't read by :func:`quality`.
+alike, each on its own; null doc_ids too. Columns other than doc_id and text aren't read by :func:`quality` and pass
+through :func:`keep_quality`. Repeats of words are told by 64-bit hashes of five-word windows that aren't compared
+again: two windows of one text with n words collide with probability below n^2 / 2^65. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import Texts, keyed, mix64, slices, small_batches
+from plumbline.llm.common import Texts, keyed, mix64, slices, small_batches, unit_hash
 
 BITS = 16
 #: Labelled rows of each class that the regression is fitted on, at most.
@@ -218,8 +220,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     totals = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
     if len(totals) < 2:
         return None
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("place", F.row_number().over(first).cast("long")).where(F.col("place") <= PER_CLASS)
+    # below the bound lie about four times the sample, so that no task orders a whole class
+    at = unit_hash(F.col("doc_id"))
+    near = F.lit(False)
+    for label, n in totals.items():
+        near = near | ((F.col("label") == label) & (at * n <= 4 * PER_CLASS))
+    first = Window.partitionBy("label").orderBy(at, "doc_id")
+    chosen = marks.where(near).withColumn("place", F.row_number().over(first).cast("long")).where(F.col("place") <= PER_CLASS)
     # at most 2 * PER_CLASS rows
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     vectors = picked.where("text is not null").select("place", "label", "text").mapInArrow(_vectors, _VECTOR)

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from plumbline import config
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
+# How figures are written.
 MONEY = r"\$?([\d,]+(?:\.\d+)?)\s*([MBKmbk])?"
 PERCENT = r"(-?\d+(?:\.\d+)?)\s*%"
 
 
 def content_words(text: Column) -> Column:
     """Distinct lower-case runs of letters and digits that aren't stopwords."""
-    stop = F.array(*map(F.lit, config.STOPWORDS))
     parts = F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", " ")), " +")
-    return F.array_distinct(F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop, w)))
+    return F.array_except(parts, F.array(*map(F.lit, ("", *config.STOPWORDS))))
 
 
 def overlap(a: Column, b: Column) -> Column:

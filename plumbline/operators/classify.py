@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import config
 from plumbline.functions import text as X
@@ -11,6 +14,8 @@ from plumbline.operators.verify import ceiling_of
 
 #: Centroids are the domains' exemplars: a handful, checked.
 MOST_CENTROIDS = 256
+#: Vectors of a document that are compared at a time.
+NEAR_BLOCK = 1024
 
 
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
@@ -22,8 +27,10 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 
 
 def nearest(vectors: DataFrame, points: DataFrame) -> DataFrame:
-    """Vectors with the label of the most similar centroid and the score (never below 0); the smaller label on ties."""
-    few = sorted(points.limit(MOST_CENTROIDS + 1).collect(), key=lambda r: str(r.label).zfill(12))
+    """Vectors with the label of the most similar centroid and the score (never below 0); on ties the smaller label, or
+    the smaller ``place`` where points have one (several points may share a label)."""
+    order = "place" if "place" in points.columns else "label"
+    few = sorted(points.limit(MOST_CENTROIDS + 1).collect(), key=lambda r: str(r[order]).zfill(12))
     if len(few) > MOST_CENTROIDS:
         raise ValueError(f"at most {MOST_CENTROIDS} centroids")
     offers = [F.struct(X.cosine(F.col("embedding"), F.lit(list(p.centroid))).alias("score"), F.lit(-i).alias("place"), F.lit(p.label).alias("label")) for i, p in enumerate(few)]
@@ -60,8 +67,32 @@ def classify(claims: DataFrame, points: DataFrame, gazetteer: dict = config.GAZE
 
 
 def near_claims(claims: DataFrame, threshold: float = config.THRESHOLDS["claim_dedup"]) -> DataFrame:
-    """(claim_id, same_as): claims of a document whose vectors are at least this similar to an earlier claim's."""
-    a = claims.where("embedding is not null").select("document_id", "claim_id", "embedding")
-    b = a.select("document_id", F.col("claim_id").alias("earlier"), F.col("embedding").alias("vector"))
-    met = a.join(b, "document_id").where(F.col("earlier") < F.col("claim_id")).where(X.cosine(F.col("embedding"), F.col("vector")) >= threshold)
-    return met.groupBy("claim_id").agg(F.min("earlier").alias("same_as"))
+    """(claim_id, same_as): claims of a document whose vectors are at least this similar to an earlier claim's.
+
+    A document's vectors meet in blocks of NEAR_BLOCK by matrix products; nothing is emitted but the answer. The largest
+    group is the claims of one document. Vectors of another length than a document's first, or with null components, match nothing.
+    """
+    rows = claims.where("embedding is not null").select("document_id", "claim_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    out = T.StructType([T.StructField(c, rows.schema["claim_id"].dataType) for c in ("claim_id", "same_as")])
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by("claim_id").combine_chunks()
+        ids, vectors = group.column("claim_id"), group.column("embedding").to_pylist()
+        size = len(vectors[0])
+        plain = np.array([v if len(v) == size and None not in v else [0.0] * size for v in vectors], float).reshape(len(vectors), size)
+        norms = np.sqrt((plain * plain).sum(1, keepdims=True))
+        unit = np.divide(plain, norms, out=np.zeros_like(plain), where=norms > 0)
+        later, first = [], []
+        for i in range(0, len(unit), NEAR_BLOCK):
+            block = unit[i : i + NEAR_BLOCK]
+            left = np.arange(len(block))
+            for j in range(0, i + len(block), NEAR_BLOCK):
+                near = block[left] @ unit[j : j + NEAR_BLOCK].T >= threshold
+                near &= (j + np.arange(near.shape[1]))[None, :] < (i + left)[:, None]
+                hit = near.any(1)
+                later += (i + left[hit]).tolist()
+                first += (j + near[hit].argmax(1)).tolist()
+                left = left[~hit]
+        return pa.table({"claim_id": ids.take(pa.array(later, pa.int64())), "same_as": ids.take(pa.array(first, pa.int64()))})
+
+    return rows.groupBy("document_id").applyInArrow(meet, out)

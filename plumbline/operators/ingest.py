@@ -131,8 +131,8 @@ def structural_index(elements: DataFrame, pages: DataFrame, short: int = T["shor
 
 def page_ranges(elements: DataFrame, sections: DataFrame) -> DataFrame:
     """Sections with the smallest and largest page of their elements, null where none has a page."""
-    inside = sections.join(elements.select("document_id", "element_index", "page_number"), "document_id")
-    inside = inside.where(F.col("element_index").between(F.col("start_index"), F.col("end_index") - 1))
+    pages = elements.select("document_id", F.col("element_index").cast("long").alias("element_index"), "page_number")
+    inside = assign_sections(elements, sections).where("order_index is not null").join(pages, ["document_id", "element_index"])
     spans = inside.groupBy("document_id", "order_index").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))
     return sections.join(spans, ["document_id", "order_index"], "left")
 
@@ -155,11 +155,18 @@ def assign_sections(elements: DataFrame, sections: DataFrame) -> DataFrame:
 
 def relink_by_page(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """Chunks with the last section (by order) whose pages hold theirs; missing bounds are open, and a chunk
-    without page has none."""
-    bounds = sections.select("document_id", "order_index", F.coalesce("page_start", F.lit(0)).alias("lo"), F.coalesce("page_end", F.lit(10**9)).alias("hi"))
-    hit = chunks.select("document_id", "chunk_id", "page_number").join(bounds, "document_id").where(F.col("page_number").between(F.col("lo"), F.col("hi")))
-    last = hit.groupBy("document_id", "chunk_id").agg(F.max("order_index").alias("order_index"))
-    return chunks.join(last, ["document_id", "chunk_id"], "left")
+    without page has none.
+
+    Sections are laid out to the pages that their document's chunks have, each page keeps its last section, and
+    chunks meet their page: rows grow with pages, not with chunks times sections.
+    """
+    seen = chunks.where("page_number is not null").select("document_id", "page_number").distinct()
+    reach = seen.groupBy("document_id").agg(F.min("page_number").alias("first"), F.max("page_number").alias("end"))
+    bounds = sections.select("document_id", "order_index", F.coalesce("page_start", F.lit(0)).alias("lo"), F.coalesce("page_end", F.lit(10**9)).alias("hi")).join(reach, "document_id")
+    bounds = bounds.withColumn("lo", F.greatest("lo", "first")).withColumn("hi", F.least("hi", "end")).where("lo <= hi")
+    pages = bounds.select("document_id", "order_index", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("__page"))
+    last = pages.groupBy("document_id", "__page").agg(F.max("order_index").alias("order_index"))
+    return chunks.withColumn("__page", F.col("page_number").cast("long")).join(last, ["document_id", "__page"], "left").drop("__page")
 
 
 def low_confidence(confidence: Column, threshold: float = T["ocr_confidence"]) -> Column:

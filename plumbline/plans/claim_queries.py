@@ -10,6 +10,7 @@ from plumbline.operators import classify, retrieve, tuning, verify
 from plumbline.plans.bindings import PARAGRAPHS_SQL, REPORTS_SQL, REQUIRES, REVIEWS_SQL, reports, reviews, table, words_sql
 from plumbline.plans.registry import query
 
+# How figures are written.
 _MONEY = r"\$?([\d,]+(?:\.\d+)?)\s*([MBKmbk])?"
 
 
@@ -144,7 +145,7 @@ def lookup_candidates(spark, sf_dir):
     )
 
 
-_LOOKUP = f"""bc AS (SELECT item_id AS claim_id, item_id % 20 AS document_id, {words_sql('substring(text, 1, 60)')} AS wanted,
+_LOOKUP = f"""bc AS (SELECT item_id AS claim_id, item_id % 20 AS document_id, {words_sql('text')} AS wanted,
   CASE item_id % 3 WHEN 0 THEN 'internal' WHEN 1 THEN 'external' ELSE 'both' END AS scope FROM benchmark),
 cand AS (SELECT doc_id AS candidate_id, substring(source, 4, 9)::BIGINT AS document_id, doc_id % 5 AS section_id, text, {words_sql('text')} AS ws,
   CASE WHEN doc_id % 7 = 0 THEN 'internal_table' ELSE 'internal_chunk' END AS source_type FROM documents WHERE text IS NOT NULL),
@@ -202,14 +203,16 @@ def pick_section(spark, sf_dir):
 
 
 @query(
-    f"WITH {PARAGRAPHS_SQL}, hay AS (SELECT document_id, element_index, lower(text) AS t FROM paragraphs) "
-    "SELECT document_id, element_index::BIGINT AS element_index, contains(t, 'password') AS cites FROM hay"
+    f"WITH {PARAGRAPHS_SQL}, hay AS (SELECT document_id, element_index, lower(p.text) AS t, lower(lang) AS asked FROM paragraphs p JOIN documents ON doc_id = document_id) "
+    "SELECT document_id, element_index::BIGINT AS element_index, contains(t, asked) AS cites FROM hay"
 )
 def citation_fidelity(spark, sf_dir):
     from plumbline.operators import ingest
 
-    rows = ingest.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.select("document_id", F.col("element_index").cast("long").alias("element_index"), X.citation_fidelity(F.col("text"), F.lit("PassWord")).alias("cites"))
+    """Whether a paragraph holds its document's language code, whatever the case."""
+    documents = table(spark, sf_dir, "documents")
+    rows = ingest.paragraphs(documents, "doc_id", "text").join(documents.select(F.col("doc_id").alias("document_id"), F.upper("lang").alias("asked")), "document_id")
+    return rows.select("document_id", F.col("element_index").cast("long").alias("element_index"), X.citation_fidelity(F.col("text"), F.col("asked")).alias("cites"))
 
 
 # --- vectors ---------------------------------------------------------------------------------------
@@ -277,13 +280,6 @@ def title_domain_hint(spark, sf_dir):
 
 
 _TERMS = ("strong EBITDA and liability", "GDPR liability before revenue", "nothing to see", "free cash flow rose YoY", "yoy growth", "antitrust case", "Revenue grew", "SEC filing")
-_TEXTS = "(" + "['" + "', '".join(_TERMS) + "']" + "[(doc_id % 8 + 1)::INTEGER] || ' ' || lang)"
-
-
-def _texts():
-    return F.concat(F.element_at(F.array(*map(F.lit, _TERMS)), (F.col("doc_id") % 8 + 1).cast("int")), F.lit(" "), F.col("lang"))
-
-
 def _gazetteer_sql(c: str) -> str:
     pattern = X.gazetteer_pattern().replace("'", "''")
     term = f"regexp_extract({c}, '{pattern}', 1)"
@@ -291,15 +287,16 @@ def _gazetteer_sql(c: str) -> str:
     return f"CASE WHEN {term} IN ({lists['financial']}) OR lower({term}) = 'yoy' THEN 'financial' WHEN {term} IN ({lists['legal']}) THEN 'legal' END"
 
 
-@query(f"SELECT doc_id, {_gazetteer_sql(_TEXTS)} AS domain FROM documents")
+@query(f"SELECT doc_id, {_gazetteer_sql('text')} AS domain FROM documents")
 def gazetteer_match(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.gazetteer_domain(_texts()).alias("domain"))
+    """Over whole texts; phrases that hold the terms are among the tests."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.gazetteer_domain(F.col("text")).alias("domain"))
 
 
 @query(
     f"""WITH {_CENTROIDS}, c AS (SELECT vec_id AS claim_id, embedding, CASE WHEN vec_id % 6 = 0 THEN 'Legal Disclosures' WHEN vec_id % 6 = 1 THEN 'Outlook' END AS section_title,
   ['{"', '".join(_TERMS)}'][(vec_id % 8 + 1)::INTEGER] AS claim_text FROM embeddings WHERE embedding IS NOT NULL),
-d3 AS (SELECT CASE label % 3 WHEN 0 THEN 'financial' WHEN 1 THEN 'general' ELSE 'legal' END AS domain, label, centroid FROM cents WHERE label < 3),
+d3 AS (SELECT CASE label % 3 WHEN 0 THEN 'financial' WHEN 1 THEN 'general' ELSE 'legal' END AS domain, label, centroid FROM cents),
 s AS (SELECT claim_id, domain, label, list_cosine_similarity(embedding::DOUBLE[], centroid) AS score FROM c, d3),
 best AS (SELECT claim_id, arg_max(domain, (score, -label)) AS sd, greatest(0, max(score)) AS ss FROM s GROUP BY claim_id),
 t AS (SELECT claim_id, {_HINT.format(c="section_title")} AS hint, {_gazetteer_sql("claim_text")} AS term, sd, ss FROM c JOIN best USING (claim_id)),
@@ -309,8 +306,8 @@ SELECT claim_id, domain, round(CASE WHEN domain = 'general' THEN least(confidenc
 )
 def domain_cascade(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    labels = F.when(F.col("label") == 0, "financial").when(F.col("label") == 1, "general").when(F.col("label") == 2, "legal")
-    points = classify.centroids(vectors).where("label < 3").select(labels.alias("label"), "centroid")
+    kinds = F.when(F.col("label") % 3 == 0, "financial").when(F.col("label") % 3 == 1, "general").otherwise("legal")
+    points = classify.centroids(vectors).select(kinds.alias("label"), "centroid", F.col("label").alias("place"))
     v = F.col("vec_id")
     claims = vectors.select(
         v.alias("claim_id"), "embedding", F.when(v % 6 == 0, "Legal Disclosures").when(v % 6 == 1, "Outlook").alias("section_title"), F.element_at(F.array(*map(F.lit, _TERMS)), (v % 8 + 1).cast("int")).alias("claim_text")
@@ -320,12 +317,12 @@ def domain_cascade(spark, sf_dir):
 
 
 @query(
-    "WITH v AS (SELECT vec_id, vec_id // 25 AS d, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL) "
-    "SELECT a.vec_id AS claim_id, min(b.vec_id) AS same_as FROM v a JOIN v b ON a.d = b.d AND b.vec_id < a.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.5 GROUP BY a.vec_id"
+    "WITH v AS (SELECT vec_id, label AS d, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL) "
+    "SELECT a.vec_id AS claim_id, min(b.vec_id) AS same_as FROM v a JOIN v b ON a.d = b.d AND b.vec_id < a.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.45 GROUP BY a.vec_id"
 )
 def near_claims(spark, sf_dir):
-    claims = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("claim_id"), F.floor(F.col("vec_id") / 25).alias("document_id"), "embedding")
-    return classify.near_claims(claims, 0.5)
+    claims = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("claim_id"), F.col("label").alias("document_id"), "embedding")
+    return classify.near_claims(claims, 0.45)
 
 
 @query(

@@ -13,15 +13,14 @@ _OUT = "document_id string, element_index int, type string, text string, section
 
 def _carry(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     title, offset = state.get if state.exists else (None, 0)
-    out = []
-    for row in pd.concat(list(frames)).sort_values("element_index").itertuples():
-        if row.type == "heading":
-            title = row.text
-            continue
-        out.append((key[0], row.element_index, row.type, row.text, title, offset))
-        offset += len(row.text) + 1
-    state.update((title, offset))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+    rows = pd.concat(list(frames)).sort_values("element_index", ignore_index=True)
+    above = rows["text"].where(rows["type"] == "heading").ffill().astype(object)
+    above = above.where(above.notna(), title)
+    body = rows[rows["type"] != "heading"]
+    sizes = body["text"].str.len().fillna(0).astype("int64") + 1
+    out = body.assign(document_id=key[0], section_title=above[body.index], char_start=offset + sizes.cumsum() - sizes)
+    state.update((above.iloc[-1] if len(above) else title, int(offset + sizes.sum())))
+    yield out[[c.split()[0] for c in _OUT.split(", ")]]
 
 
 def carried(elements: DataFrame) -> DataFrame:

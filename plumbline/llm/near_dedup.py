@@ -4,7 +4,7 @@ Every permutation is evaluated once and gives two signature values, the minimum
 so 64 evaluations give 128 values.  Bands of four values (the two of two permutations) select
 candidates: a pair of Jaccard similarity 0.75 escapes all 32 bands with probability 5e-6.
 
-Work is done on *classes* (texts with equal shingle sets), so exact copies cost nothing beyond
+Work is done on *classes* (texts with equal shingle sets, named by a number), so exact copies cost nothing beyond
 their signature.  Inside a bucket nothing is paired with everything:
 
 1. every class is compared with one representative, the class that shares the most buckets
@@ -85,7 +85,7 @@ _SIGNED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("text_key", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
-        T.StructField("cls", T.BinaryType()),
+        T.StructField("digest", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
@@ -97,21 +97,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(text):
             texts = Texts(text.slice(a, b - a), lower=True)
             sets = shingle_hashes(texts, texts.word_hashes())
-            cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             bands = [band_hashes(*signature(s)) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
                     batch.column(1).slice(a, b - a),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(cls, pa.binary()),
+                    pa.array(digests, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
                 names=_SIGNED.names,
             )
 
 
-_SETS = T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+_SETS = T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,21 +164,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 _ROWS = T.StructType(
     [
-        T.StructField("hub", T.BinaryType()),
+        T.StructField("hub", T.LongType()),
         T.StructField("block", T.LongType()),
         T.StructField("side", T.IntegerType()),
-        T.StructField("cls", T.BinaryType()),
-        T.StructField("comp", T.BinaryType()),
+        T.StructField("cls", T.LongType()),
+        T.StructField("comp", T.LongType()),
         T.StructField("shingles", T.ArrayType(T.LongType())),
     ]
 )
-_LINK = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 class _Held:
     """The refused classes of one block, ready to be compared with a stream of classes."""
 
-    def __init__(self, rows: list[tuple[bytes, bytes, np.ndarray]]):
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
         self.cls = [r[0] for r in rows]
         self.comp = [r[1] for r in rows]
         self.sizes = np.array([len(r[2]) for r in rows])
@@ -186,14 +186,14 @@ class _Held:
         owner = np.repeat(np.arange(len(rows)), self.sizes)
         order = np.argsort(values, kind="stable")
         self.values, self.owner = values[order], owner[order]
-        self.parent: dict[bytes, bytes] = {}
+        self.parent: dict[int, int] = {}
 
-    def _root(self, comp: bytes) -> bytes:
+    def _root(self, comp: int) -> int:
         while (up := self.parent.get(comp, comp)) != comp:
             comp = up
         return comp
 
-    def links(self, cls: bytes, comp: bytes, shingles: np.ndarray) -> list[tuple[bytes, bytes]]:
+    def links(self, cls: int, comp: int, shingles: np.ndarray) -> list[tuple[int, int]]:
         """Links of a class to held ones that join components not joined here before."""
         low = np.searchsorted(self.values, shingles, "left")
         count = np.searchsorted(self.values, shingles, "right") - low
@@ -226,7 +226,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 held = held or _Held(rows)
                 out += held.links(cls, comp, shingles)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=_LINK.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=_LINK.names)
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,8 +276,7 @@ def _crossing(open_sets: DataFrame, sets: DataFrame) -> DataFrame:
     crowd = first.where(heavy)
     if crowd.isEmpty():
         return links
-    hub = F.encode(F.col("shingle").cast("string"), "UTF-8").alias("hub")
-    return links.unionByName(_in_blocks(crowd.select(hub, "cls", "comp", "few", "n"), sets))
+    return links.unionByName(_in_blocks(crowd.select(F.col("shingle").alias("hub"), "cls", "comp", "few", "n"), sets))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -324,10 +323,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     signed = cut(_keyed_texts(docs).mapInArrow(_sign, _SIGNED), "signatures")
-    classes = signed.where("cls is not null").groupBy("cls").agg(
+    classes = signed.where("digest is not null").groupBy("digest").agg(
         F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")
     )
-    classes = cut(classes, "classes")
+    # a class is named by a number, which the written table keeps
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     pairs = classes.select(F.explode("bands").alias("key"), "cls")
     reach = cut(pairs.groupBy("key").count().where("count > 1"), "reach")
     members = cut(skew_join(pairs, reach.withColumnRenamed("count", "reach"), "key", sizes=reach), "buckets")
@@ -367,13 +367,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links.unionByName(more))
 
     grouped = classes.join(labels, classes.cls == labels.node, "left").select(
-        "cls", "least_id", F.coalesce("comp", "cls").alias("comp")
+        "digest", "least_id", F.coalesce("comp", "cls").alias("comp")
     )
     smallest = grouped.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    ids = cut(grouped.join(smallest, "comp").select("cls", "component_id"), "ids")
-    alone = F.col("cls").isNull()
+    ids = cut(grouped.join(smallest, "comp").select("digest", "component_id"), "ids")
+    alone = F.col("digest").isNull()
     component: Column = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return skew_join(signed.drop("bands"), ids, "cls", "left").select(
+    return skew_join(signed.drop("bands"), ids, "digest", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key"
     )
 

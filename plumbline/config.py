@@ -67,6 +67,7 @@ THRESHOLDS = {
     "window_overlap": 2,
     "embed_inputs": 100,
     "embed_tokens": 250_000,
+    "embed_text_tokens": 8_091,
     "claim_dedup": 0.92,
 }
 
@@ -100,6 +101,25 @@ def load_settings(path: str) -> dict:
     return out
 
 
+def load_yaml(path: str):
+    """A YAML file of any nesting; needs the yaml package."""
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("nested settings need the yaml package") from missing
+    return yaml.safe_load(Path(path).read_text())
+
+
+def load_registry(path: str) -> tuple[tuple, ...]:
+    """The registry's rows (domain, claim type, method, ceiling) in the file's order, which is that of precedence."""
+    return tuple((r["domain"], r["claim_type"], r["verification_method"], r.get("confidence_ceiling")) for r in load_yaml(path))
+
+
+def load_exemplars(path: str) -> list[tuple[str, str]]:
+    """(domain, sentence) of an exemplar file: sentences by domain."""
+    return [(domain, sentence) for domain, sentences in load_yaml(path).items() for sentence in sentences]
+
+
 def load_template(folder: str, name: str) -> str:
     """A prompt template by its base name, with or without ``.md``."""
     return (Path(folder) / (name if name.endswith(".md") else f"{name}.md")).read_text()

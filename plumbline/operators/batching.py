@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline import config
 from plumbline.functions import text as X
+from plumbline.staging import stored
 
 T = config.THRESHOLDS
 
@@ -42,20 +43,21 @@ def batches(rows: DataFrame, group: str, ordinal: str, size: str, *, most: int,
 def summarize_sections(chunks: DataFrame, summarize: Callable[[DataFrame], DataFrame], direct: int = T["summary_direct_words"], rounds: int = 8) -> DataFrame:
     """(section_id, summary, calls): sections of at most ``direct`` words in one call, larger ones batch by batch, their
     summaries again the same way. chunks: (section_id, ordinal, text); ``summarize``: (section_id, batch, text) -> with
-    ``summary``. Every round ends in a checkpoint where one is set, since a model's answer must not be asked for twice."""
+    ``summary``; a section with an answer that is null (no access) ends with none. Every round is written, since a model's
+    answer must not be asked for twice."""
     done, left = None, chunks.select("section_id", "ordinal", "text", F.lit(0).cast("long").alias("calls"))
-    keep = bool(chunks.sparkSession.conf.get("spark.checkpoint.dir", None))
     for _ in range(rounds):
         sized = left.withColumn("words", X.word_count(F.col("text")))
         packed = batches(sized, "section_id", "ordinal", "words", most=direct).join(left, ["section_id", "ordinal"])
         texts = packed.groupBy("section_id", "batch").agg(
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("text"), F.max("calls").alias("calls")
         )
-        asked = summarize(texts)
-        asked = asked.checkpoint() if keep else asked.cache()
-        many = asked.groupBy("section_id").agg(F.count("*").alias("n"))
+        asked = stored(summarize(texts), "summaries")
+        many = asked.groupBy("section_id").agg(F.count("*").alias("n"), F.bool_or(F.col("summary").isNull()).alias("blocked"))
         rows = asked.join(many, "section_id").withColumn("calls", F.col("calls") + F.col("n"))
-        whole = rows.where("n = 1").select("section_id", "summary", "calls")
+        refused = rows.where("blocked").groupBy("section_id").agg(F.lit(None).cast("string").alias("summary"), F.max("calls").alias("calls"))
+        rows = rows.where("not blocked")
+        whole = rows.where("n = 1").select("section_id", "summary", "calls").unionByName(refused)
         done = whole if done is None else done.unionByName(whole)
         left = rows.where("n > 1").select("section_id", F.col("batch").alias("ordinal"), F.col("summary").alias("text"), "calls")
         if left.isEmpty():

@@ -6,12 +6,17 @@ one task never holds more than whole documents; nothing is shuffled but by docum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline import config
 from plumbline.functions import text as X
+from plumbline.operators import batching
+from plumbline.schemas import key
+from plumbline.staging import stored
 
 T = config.THRESHOLDS
 
@@ -180,11 +185,52 @@ def ingest_counts(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     return a.join(b, "document_id", "left").withColumn("section_count", F.coalesce("section_count", F.lit(0).cast("long")))
 
 
-def run_ingestion(elements: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
-    """documents, sections and chunks of parsed elements, as the sinks write them."""
+def section_texts(elements: DataFrame, sections: DataFrame) -> DataFrame:
+    """(section_id, document_id, order_index, ordinal, text): what stands in each section, tables as JSON."""
+    inside = assign_sections(elements, sections).where("order_index is not null")
+    text = F.when(F.col("type") == "table", F.to_json("data")).otherwise(F.col("text")) if "data" in elements.columns else F.col("text")
+    rows = elements.select("document_id", F.col("element_index").cast("long").alias("element_index"), text.alias("text"))
+    met = rows.join(inside, ["document_id", "element_index"])
+    return met.select(key(F.col("document_id"), F.col("order_index")).alias("section_id"), "document_id", "order_index", F.col("element_index").alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def with_summaries(sections: DataFrame, elements: DataFrame, summarize: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Sections with summary, its word count and how it was made: direct, batch_and_reduce, or blocked_credentials where the
+    provider had no access. A section that holds nothing has none of the three."""
+    texts = section_texts(elements, sections)
+    made = batching.summarize_sections(texts.select("section_id", "ordinal", "text"), summarize)
+    method = F.when(F.col("summary").isNull(), "blocked_credentials").when(F.col("calls") > 1, "batch_and_reduce").otherwise("direct")
+    words = F.when(F.col("summary").isNotNull(), X.word_count(F.col("summary")))
+    made = made.select("section_id", "summary", words.alias("summary_word_count"), method.alias("summary_method"))
+    return sections.withColumn("section_id", key(F.col("document_id"), F.col("order_index"))).join(made, "section_id", "left")
+
+
+def finalize_structure(elements: DataFrame, chunks: DataFrame, pages: DataFrame, summarize: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The index of documents whose chunks arrived page by page: sections with their pages (and summaries), every chunk
+    with the last section whose pages hold its page, documents as ingested.
+
+    chunks: (document_id, chunk_id, page_number, ...); pages: (document_id, page_count)."""
+    sections = structural_index(elements, pages)
+    sections = with_summaries(sections, elements, summarize) if summarize else sections
+    sections = stored(page_ranges(elements, sections), "sections")
+    linked = relink_by_page(chunks.drop("order_index"), sections)
+    indexed = sections.select("document_id").distinct().withColumn("has_structural_index", F.lit(True))
+    done = pages.join(indexed, "document_id", "left").withColumn("has_structural_index", F.coalesce("has_structural_index", F.lit(False)))
+    return {"documents": done.withColumn("status", F.lit("ingested")), "sections": sections, "chunks": linked}
+
+
+def display_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks as they are shown: without inner positions, marked where they were read with low confidence."""
+    shown = chunks.drop("element_index")
+    return shown.withColumn("low_confidence_ocr", low_confidence(F.col("ocr_confidence"))) if "ocr_confidence" in chunks.columns else shown
+
+
+def run_ingestion(elements: DataFrame, documents: DataFrame, summarize: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """documents, sections and chunks of parsed elements, as the sinks write them; sections are summarised where ``summarize`` is given."""
     titles = document_titles(elements, documents)
     pages = page_estimate(elements)
     sections = structural_index(elements, pages)
+    sections = stored(with_summaries(sections, elements, summarize), "sections") if summarize else sections
     body = with_heading(elements)
     body = body.withColumn("text", F.when(F.col("type") == "table", X.table_text(F.col("data"))).otherwise(F.col("text"))) if "data" in elements.columns else body
     chunks = sentence_chunks(body, "type", "section_title").join(titles, "document_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline import config
 
@@ -73,11 +74,21 @@ def page_elements(words: DataFrame, boxes: DataFrame) -> DataFrame:
     free = outside_tables(words, boxes)
     texts = blocks(lines(free), heading_threshold(words)).select(*PAGE, "type", "text", "top")
     tables = boxes.select(*PAGE, F.lit("table").alias("type"), "data", "top")
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("document_id").orderBy("page_number", "top", "type")
     both = texts.unionByName(tables, allowMissingColumns=True)
-    return both.withColumn("element_index", (F.row_number().over(order) - 1).cast("int")).withColumn("source", F.lit("native"))
+    return both.withColumn("element_index", _place()).withColumn("source", F.lit("native"))
+
+
+def _place() -> Column:
+    order = Window.partitionBy("document_id").orderBy("page_number", "top", "type", "text")
+    return (F.row_number().over(order) - 1).cast("int")
+
+
+def document_elements(words: DataFrame, boxes: DataFrame, ocr_words: DataFrame) -> DataFrame:
+    """Elements of whole documents in the order of their pages: native pages as laid out, a scanned page that holds text as
+    one paragraph with its confidence."""
+    native = page_elements(words, boxes).drop("element_index")
+    scanned = ocr_pages(ocr_words).where("text <> ''").select(*PAGE, F.lit("paragraph").alias("type"), "text", F.lit(0.0).alias("top"), F.lit("ocr").alias("source"), "ocr_confidence")
+    return native.unionByName(scanned, allowMissingColumns=True).withColumn("element_index", _place())
 
 
 def ocr_pages(ocr_words: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.verify import latest
+from plumbline.operators.verify import VERDICT, latest
 
 
 def claim_summary(claims: DataFrame, verdicts: DataFrame, newest_only: bool = False) -> DataFrame:
@@ -52,6 +52,30 @@ def verdict_view(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("claim_id", "verdict_id", "final_verdict", F.date_format("resolved_at", ISO).alias("resolved_at"))
 
 
+def _iso(name: str) -> Column:
+    return F.date_format(name, ISO).alias(name)
+
+
+def document_view(documents: DataFrame) -> DataFrame:
+    """Documents as they are shown."""
+    return documents.select(F.col("document_id").alias("id"), "filename", "file_type", "status", "page_count", "file_size_bytes", "has_structural_index", _iso("created_at"))
+
+
+def evidence_view(evidence: DataFrame) -> DataFrame:
+    """Evidence rows as they are shown, of each claim."""
+    return evidence.select("claim_id", F.col("evidence_id").alias("id"), "source_type", "source_ref", "content_snippet", "authority_score", _iso("retrieved_at"))
+
+
+def trace_view(traces: DataFrame) -> DataFrame:
+    """What was sent to the agents of each claim and what came back, as it is shown."""
+    return traces.select("claim_id", F.col("trace_id").alias("id"), "agent_name", "prompt_sent", "raw_response", "tool_calls", "config_hash", _iso("created_at"))
+
+
+def full_verdict_view(verdicts: DataFrame) -> DataFrame:
+    """Whole verdict rows as they are shown: both reviews, the outcome, the time."""
+    return verdicts.select(*VERDICT, _iso("resolved_at"))
+
+
 def navigator_lines(sections: DataFrame) -> DataFrame:
     """(document_id, lines): the sections of a document as a navigator is shown them, a line each, in order of id."""
     line = F.format_string("- id=%s title=%s summary=%s", F.col("section_id").cast("string"), F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))

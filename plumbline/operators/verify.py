@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline import config
+from plumbline import config, schemas
 from plumbline.functions import text as X
 from plumbline.operators import retrieve
 
@@ -60,8 +60,45 @@ def recompute(claims: DataFrame, tables: DataFrame, tolerance: float = TOLERANCE
 
 def reasoning(row_verdict: Column, stated: Column, computed: Column) -> Column:
     """The sentence that goes with a deterministic verdict."""
-    compared = F.format_string("recomputed %s%% against the stated %s%%", F.bround(computed, 2).cast("decimal(20,2)").cast("string"), F.bround(stated, 2).cast("decimal(20,2)").cast("string"))
-    return F.when(stated.isNull(), "no stated percentage found in the claim text").when(row_verdict == "insufficient", "no usable current/prior figures found in retrieved evidence").otherwise(compared)
+
+    def shown(figure: Column) -> Column:
+        return F.bround(figure, 2).cast("decimal(20,2)").cast("string")
+
+    compared = F.format_string("the tables give %s%% where the claim says %s%%", shown(computed), shown(stated))
+    return F.when(stated.isNull(), "the claim states no percentage").when(row_verdict == "insufficient", "no table found holds both figures").otherwise(compared)
+
+
+#: What a verdict row says besides its identity and time.
+VERDICT = (
+    "claim_id", "verifier_verdict", "verifier_confidence", "verifier_reasoning", "challenger_verdict", "challenger_confidence",
+    "challenger_reasoning", "agreement", "final_verdict", "final_confidence", "severity", "resolved_by",
+)
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    """``rows`` with every verdict column, null where it is missing."""
+    kinds = schemas.schema("verdicts")
+    missing = {c: F.lit(None).cast(kinds[c].dataType) for c in VERDICT if c not in rows.columns}
+    return rows.withColumns(missing).select(*VERDICT) if missing else rows.select(*VERDICT)
+
+
+def traces(reviews: DataFrame, config_hash: str, created_at: str) -> DataFrame:
+    """agent_traces rows, two a review: what was sent to verifier and challenger (``verifier_prompt``, ...) and what came back
+    (``verifier_raw``, ..., else the structured answer as JSON), null where the review doesn't say."""
+    def answer(agent: str) -> Column:
+        if f"{agent}_raw" in reviews.columns:
+            return F.col(f"{agent}_raw")
+        parts = [F.col(f"{agent}_{c}").alias(c) for c in ("verdict", "confidence", "reasoning") if f"{agent}_{c}" in reviews.columns]
+        return F.to_json(F.struct(*parts))
+
+    def one(agent: str) -> Column:
+        sent = F.col(f"{agent}_prompt") if f"{agent}_prompt" in reviews.columns else F.lit(None).cast("string")
+        return F.struct(F.lit(agent).alias("agent_name"), sent.alias("prompt_sent"), answer(agent).alias("raw_response"))
+
+    rows = reviews.select("claim_id", F.inline(F.array(one("verifier"), one("challenger"))))
+    stamped = rows.withColumns({"tool_calls": F.lit(None).cast(schemas.schema("agent_traces")["tool_calls"].dataType), "config_hash": F.lit(config_hash), "created_at": F.lit(created_at).cast("timestamp")})
+    named = stamped.withColumn("trace_id", schemas.key(F.col("claim_id"), F.col("agent_name"), F.col("created_at")))
+    return named.select(*schemas.schema("agent_traces").names)
 
 
 def reconcile(reviews: DataFrame) -> DataFrame:
@@ -77,16 +114,17 @@ def reconcile(reviews: DataFrame) -> DataFrame:
 
 
 def verify(claims: DataFrame, candidates: DataFrame, reviews: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """One verdict row a claim: recomputed where the registry says so, else reconciled from ``reviews``; claims without
-    a review stay out (pending)."""
+    """One verdict row a claim, with its reasoning: recomputed where the registry says so, else reconciled from ``reviews``;
+    claims without a review (none came, or the reviewer had no access: its verdict is null) stay out, pending."""
     marked = claims.withColumn("method", method_of(F.col("domain"), F.col("claim_type")))
     exact = marked.where("method = 'deterministic'")
     tables = retrieve.internal_lookup(exact, candidates.where("source_type = 'internal_table'")).join(candidates.select("candidate_id", "ordinal"), "candidate_id")
     one = recompute(exact, tables, tolerance).withColumn("resolved_by", F.lit("deterministic"))
+    one = one.withColumn("verifier_reasoning", reasoning(F.col("final_verdict"), F.col("stated_pct"), F.col("computed_pct")))
     rest = marked.where("method is null or method <> 'deterministic'").select("claim_id", "domain")
-    two = reconcile(reviews.join(rest, "claim_id"))
-    columns = ("claim_id", "final_verdict", "final_confidence", "severity", "resolved_by")
-    return one.select(*columns).unionByName(two.select(*columns))
+    answered = reviews.where("verifier_verdict is not null and challenger_verdict is not null")
+    two = reconcile(answered.join(rest, "claim_id"))
+    return _filled(one).unionByName(_filled(two))
 
 
 def latest(verdicts: DataFrame) -> DataFrame:

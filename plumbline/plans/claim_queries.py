@@ -318,11 +318,11 @@ def domain_cascade(spark, sf_dir):
 
 @query(
     "WITH v AS (SELECT vec_id, label AS d, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL) "
-    "SELECT a.vec_id AS claim_id, min(b.vec_id) AS same_as FROM v a JOIN v b ON a.d = b.d AND b.vec_id < a.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.45 GROUP BY a.vec_id"
+    "SELECT a.vec_id AS claim_id, min(b.vec_id) AS same_as FROM v a JOIN v b ON a.d = b.d AND b.vec_id < a.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3 GROUP BY a.vec_id"
 )
 def near_claims(spark, sf_dir):
     claims = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("claim_id"), F.col("label").alias("document_id"), "embedding")
-    return classify.near_claims(claims, 0.45)
+    return classify.near_claims(claims, 0.3)
 
 
 @query(

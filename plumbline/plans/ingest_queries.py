@@ -279,24 +279,51 @@ def heading_thresholds(spark, sf_dir):
     return rows.select("document_id", F.col("page_number").cast("long").alias("page_number"), F.round("threshold", 6).alias("threshold"))
 
 
-@query(
-    f"""WITH RECURSIVE {_LAID},
-o AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY top, x0, text, size) AS i FROM laid),
+def _lines_sql(words: str) -> str:
+    """Words folded to lines, in order; the words come from the table named."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY top, x0, text, size) AS i FROM {words}),
 walk AS (SELECT document_id, page_number, i, text, size, top AS anchor, 0::BIGINT AS line_index FROM o WHERE i = 1
   UNION ALL SELECT o.document_id, o.page_number, o.i, o.text, o.size, CASE WHEN abs(walk.anchor - o.top) < 3 THEN walk.anchor ELSE o.top END, CASE WHEN abs(walk.anchor - o.top) < 3 THEN line_index ELSE line_index + 1 END
-  FROM walk JOIN o ON o.document_id = walk.document_id AND o.page_number = walk.page_number AND o.i = walk.i + 1)
-SELECT document_id, page_number::BIGINT AS page_number, line_index, min(anchor) AS top, string_agg(text, ' ' ORDER BY i) AS text, round(avg(size), 6) AS size FROM walk GROUP BY document_id, page_number, line_index"""
-)
+  FROM walk JOIN o ON o.document_id = walk.document_id AND o.page_number = walk.page_number AND o.i = walk.i + 1),
+page_lines AS (SELECT document_id, page_number, line_index, min(anchor) AS top, string_agg(text, ' ' ORDER BY i) AS text, avg(size) AS size FROM walk GROUP BY document_id, page_number, line_index)"""
+
+
+def _blocks_sql(words: str) -> str:
+    """Lines folded to blocks; a page's threshold comes from all its words."""
+    joins = "l.type = w.type AND abs(l.size - w.size) < 0.5 AND l.top - w.last < w.size * 1.9"
+    return f"""{_lines_sql(words)},
+bounds AS (SELECT document_id, page_number, median(size) * 1.15 AS threshold FROM laid GROUP BY ALL),
+l AS (SELECT p.*, CASE WHEN size >= threshold THEN 'heading' ELSE 'paragraph' END AS type FROM page_lines p JOIN bounds USING (document_id, page_number)),
+bw AS (SELECT document_id, page_number, line_index, type, text, top, top AS last, size, 0::BIGINT AS block_index FROM l WHERE line_index = 0
+  UNION ALL SELECT l.document_id, l.page_number, l.line_index, l.type, l.text, CASE WHEN {joins} THEN w.top ELSE l.top END, l.top, CASE WHEN {joins} THEN w.size ELSE l.size END, CASE WHEN {joins} THEN w.block_index ELSE w.block_index + 1 END
+  FROM bw w JOIN l ON l.document_id = w.document_id AND l.page_number = w.page_number AND l.line_index = w.line_index + 1),
+blocks AS (SELECT document_id, page_number, block_index, min(type) AS type, min(top) AS top, string_agg(text, ' ' ORDER BY line_index) AS text FROM bw GROUP BY document_id, page_number, block_index)"""
+
+
+@query(f"WITH RECURSIVE {_LAID}, {_lines_sql('laid')} SELECT document_id, page_number::BIGINT AS page_number, line_index, top, text, round(size, 6) AS size FROM page_lines")
 def line_grouping(spark, sf_dir):
     rows = layout.lines(_words(spark, sf_dir))
     return rows.select("document_id", F.col("page_number").cast("long").alias("page_number"), "line_index", "top", "text", F.round("size", 6).alias("size"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_LAID}, {_blocks_sql('laid')} SELECT document_id, page_number::BIGINT AS page_number, block_index, type, top, text FROM blocks")
 def block_merge(spark, sf_dir):
-    """A fold over a fold; its brute-force version is among the tests."""
+    """A fold over a fold."""
     words = _words(spark, sf_dir)
-    return layout.blocks(layout.lines(words), layout.heading_threshold(words))
+    return layout.blocks(layout.lines(words), layout.heading_threshold(words)).withColumn("page_number", F.col("page_number").cast("long"))
+
+
+@query(
+    f"""WITH RECURSIVE {_LAID}, free AS (SELECT * FROM laid l WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.document_id = l.document_id AND b.page_number = l.page_number AND l.x0 BETWEEN b.x0 AND b.x1 AND l.top BETWEEN b.top AND b.bottom)),
+{_blocks_sql('free')},
+parts AS (SELECT document_id, page_number, type, top, text FROM blocks UNION ALL SELECT document_id, page_number, 'table', top, NULL FROM boxes)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, top, type, text NULLS FIRST) - 1 AS element_index, page_number::BIGINT AS page_number, type, coalesce(text, '') AS text FROM parts"""
+)
+def native_page_elements(spark, sf_dir):
+    """Text blocks outside tables and the tables, in reading order."""
+    boxes = _boxes(spark, sf_dir).withColumn("data", F.array(F.array(F.lit("cell"))))
+    rows = layout.page_elements(_words(spark, sf_dir), boxes)
+    return rows.select("document_id", F.col("element_index").cast("long").alias("element_index"), F.col("page_number").cast("long").alias("page_number"), "type", F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query("SELECT page_id, CASE WHEN length(trim(coalesce(url, ''), ' ')) > 20 THEN 'native' ELSE 'ocr' END AS source FROM pages")

@@ -19,7 +19,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from plumbline.plans import claim_queries, ingest_queries, review_queries  # noqa: F401
+    from plumbline.plans import claim_queries, ingest_queries, review_queries, run_queries  # noqa: F401
 
 
 def queries() -> dict:

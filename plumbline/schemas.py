@@ -11,7 +11,7 @@ from plumbline import config
 _DDL = {
     "documents": "document_id string, filename string, file_type string, storage_path string, file_size_bytes bigint, status string, page_count int, has_structural_index boolean, created_at timestamp",
     "elements": "document_id string, element_index int, type string, level int, text string, data array<array<string>>, page_number int, source string, ocr_confidence double",
-    "document_sections": "section_id string, document_id string, title string, is_pseudo_section boolean, summary string, domain_hint string, order_index int, start_index int, end_index int, page_start int, page_end int",
+    "document_sections": "section_id string, document_id string, title string, is_pseudo_section boolean, summary string, summary_word_count bigint, summary_method string, domain_hint string, order_index int, start_index int, end_index int, page_start int, page_end int",
     "document_chunks": "chunk_id string, document_id string, section_id string, element_index int, chunk_index int, chunk_type string, chunk_text string, context_capsule string, page_number int, start_sentence int, end_sentence int, ocr_confidence double, embedding array<float>",
     "extracted_tables": "table_id string, document_id string, section_id string, page_number int, table_data array<array<string>>, parse_status string",
     "claims": "claim_id string, document_id string, chunk_id string, claim_text string, source_span string, claim_type string, scope string, requires array<string>, domain string, domain_confidence double, domain_source string, embedding array<float>, status string, created_at timestamp",

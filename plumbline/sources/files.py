@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import config, schemas
+from plumbline.staging import stored
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _ELEMENTS = "document_id string, element_index int, type string, level int, text string, data array<array<string>>"
@@ -22,7 +23,11 @@ def uploads(spark: SparkSession, path: str, max_mb: int = config.THRESHOLDS["max
 
     Accepted rows are ``documents`` rows with status queued; rejected ones carry the reason.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    return check_uploads(spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime"), max_mb)
+
+
+def check_uploads(files: DataFrame, max_mb: int = config.THRESHOLDS["max_upload_mb"]) -> tuple[DataFrame, DataFrame]:
+    """The same for a listing (path, length, modificationTime)."""
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     rows = files.select(
         schemas.key(F.col("path")).alias("document_id"),
@@ -105,15 +110,82 @@ def docx_elements(content: bytes) -> list[dict]:
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """Element rows of the word-processor files under a path; one file is one unit of work."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
-    rows = files.select(schemas.key(F.col("path")).alias("document_id"), "content")
+    return parse_docx(files.select(schemas.key(F.col("path")).alias("document_id"), "content"))
+
+
+def parse_docx(rows: DataFrame) -> DataFrame:
+    """The same for rows (document_id string, content binary)."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for document_id, content in zip(frame.document_id, frame.content, strict=True):
-                found = docx_elements(bytes(content))
-                yield pd.DataFrame([{"document_id": document_id, "element_index": i, **e} for i, e in enumerate(found)], columns=["document_id", "element_index", "type", "level", "text", "data"])
+        names = ["type", "level", "text", "data"]
+
+        def rows_of(document_id: str, content: bytes) -> list[tuple]:
+            return [(document_id, i, *map(e.get, names)) for i, e in enumerate(docx_elements(content))]
+
+        return _by_rows(frames, rows_of, ["document_id", "element_index", *names])
+
+    return rows.select("document_id", "content").mapInPandas(parse, _ELEMENTS)
+
+
+#: Rows that a parser gathers before it hands them on.
+PARSED_ROWS = 5_000
+
+
+def _by_rows(frames: Iterator[pd.DataFrame], rows_of: Callable[[str, bytes], list[tuple]], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of (document_id, content) parsed document by document, handed on in frames of some thousand rows."""
+    out: list[tuple] = []
+    for frame in frames:
+        for document_id, content in zip(frame.document_id, frame.content, strict=True):
+            out += rows_of(document_id, bytes(content))
+            if len(out) >= PARSED_ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+    yield pd.DataFrame(out, columns=columns)
+
+
+_PAGES = (
+    "document_id string, page_number int, text string, words array<struct<text:string,x0:double,top:double,size:double>>, "
+    "boxes array<struct<x0:double,top:double,x1:double,bottom:double,data:array<array<string>>>>, read array<struct<ordinal:int,text:string,conf:double>>"
+)
+
+
+def pdf_pages(rows: DataFrame, reader: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Pages of portable documents: rows (document_id string, content binary) -> a row a page with its text, placed words, table
+    boxes and, for scanned pages, recognised words. ``reader`` stands for the library that opens the bytes; it gives
+    a dict a page with any of text, words (text, x0, top, size), boxes (x0, top, x1, bottom, data), read (text, conf)."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows_of(document_id: str, content: bytes) -> list[tuple]:
+            out = []
+            for number, page in enumerate(reader(content), 1):
+                words = [dict(zip(("text", "x0", "top", "size"), w, strict=True)) for w in page.get("words", ())]
+                boxes = [dict(zip(("x0", "top", "x1", "bottom", "data"), b, strict=True)) for b in page.get("boxes", ())]
+                read = [{"ordinal": i, "text": t, "conf": float(c)} for i, (t, c) in enumerate(page.get("read", ()))]
+                out.append((document_id, number, page.get("text"), words, boxes, read))
+            return out
+
+        return _by_rows(frames, rows_of, ["document_id", "page_number", "text", "words", "boxes", "read"])
+
+    return rows.select("document_id", "content").mapInPandas(parse, _PAGES)
+
+
+def parse_pdf(rows: DataFrame, reader: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Element rows of portable documents, each page by its layout or, where it has no text, by recognition. Pages are written
+    once read, so that a file is opened once."""
+    from plumbline.operators import layout
+
+    pages = stored(layout.native_pages(pdf_pages(rows, reader)), "pages")
+    native = pages.where("source = 'native'")
+    words = native.select("document_id", "page_number", F.inline("words"))
+    boxes = native.select("document_id", "page_number", F.inline("boxes"))
+    scanned = pages.where("source = 'ocr'").select("document_id", "page_number", F.inline("read"))
+    return layout.document_elements(words, boxes, scanned)
+
 
-    return rows.mapInPandas(parse, _ELEMENTS)
+def parse_documents(documents: DataFrame, reader: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Elements of documents (document_id, file_type, content) of both kinds; another kind is an error."""
+    kinds = by_kind(documents)
+    return parse_docx(kinds["docx"]).unionByName(parse_pdf(kinds["pdf"], reader), allowMissingColumns=True)
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:

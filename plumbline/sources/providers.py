@@ -10,9 +10,15 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline import config
+from plumbline.functions import text as X
+from plumbline.schemas import REVIEW
+
+T = config.THRESHOLDS
+
 
 class MissingCredentials(RuntimeError):
     """A provider has no access; its claims stay pending."""
@@ -36,19 +42,66 @@ def with_retry(call: Callable[[list], list], tries: int = 5, wait: float = 1.0,
     return run
 
 
-def apply_provider(rows: DataFrame, column: str, out: str, kind: str, call: Callable[[list], list], inputs: int = 100) -> DataFrame:
-    """``rows`` with ``out``, the provider's answer for ``column``, asked in batches of at most ``inputs``."""
+def packed(sizes: list[int], most: int | None, items: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of batches in order: one closes before the item that would exceed ``most`` or ``items``; none is split."""
+    start, used = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start >= items or (most is not None and used + size > most)):
+            yield start, i
+            start, used = i, 0
+        used += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def words_as_tokens(text: str | None) -> int:
+    """What :func:`token_estimate` says, for a text in Python."""
+    return -(-len((text or "").split()) * 4 // 3)
+
+
+def apply_provider(
+    rows: DataFrame, column: str, out: str, kind: str, call: Callable[[list], list], inputs: int = 100, tokens: int | None = None, count: Callable = words_as_tokens, blocked: str | None = None
+) -> DataFrame:
+    """``rows`` with ``out``, the provider's answer for ``column``, asked in batches of at most ``inputs`` rows and ``tokens`` tokens.
+
+    ``blocked`` names a column that is true where the provider had no access: such rows have no answer, and a task asks
+    no more after its first refusal. Without it missing credentials fail the job.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        refused = False
         for frame in frames:
             asked = frame[column].tolist()
             answers: list = []
-            for i in range(0, len(asked), inputs):
-                answers += call(asked[i : i + inputs])
-            yield frame.assign(**{out: pd.Series(answers, index=frame.index, dtype=object)})
+            for a, b in packed([count(x) if tokens else 0 for x in asked], tokens, inputs):
+                try:
+                    answers += [None] * (b - a) if refused else call(asked[a:b])
+                except MissingCredentials:
+                    if blocked is None:
+                        raise
+                    refused = True
+                    answers += [None] * (b - a)
+            made = frame.assign(**{out: pd.Series(answers, index=frame.index, dtype=object)})
+            yield made if blocked is None else made.assign(**{blocked: [x is None and refused for x in answers]})
+
+    answered = rows.withColumn(out, F.lit(None).cast(kind))
+    answered = answered if blocked is None else answered.withColumn(blocked, F.lit(None).cast("boolean"))
+    return rows.mapInPandas(run, answered.schema)
+
 
-    answered = rows.withColumn(out, F.lit(None).cast(kind)).schema
-    return rows.mapInPandas(run, answered)
+def once_a_worker(load: Callable[[], Callable[[list], list]]) -> Callable[[list], list]:
+    """A provider whose pipeline ``load`` builds on first use, once in each worker process that runs it."""
+
+    def call(batch: list) -> list:
+        key = getattr(load, "__qualname__", repr(load))
+        if key not in _pipelines:
+            _pipelines[key] = load()
+        return _pipelines[key](batch)
+
+    return call
+
+
+_pipelines: dict = {}
 
 
 def hashed_vector(texts: list[str], size: int = 64) -> list[list[float]]:
@@ -73,22 +126,34 @@ def first_words(texts: list[str], words: int = 150) -> list[str]:
 
 
 def embed(chunks: DataFrame, column: str = "chunk_text", call: Callable[[list], list] = hashed_vector) -> DataFrame:
-    return apply_provider(chunks, column, "embedding", "array<double>", call)
+    """Vectors of a column's texts: each text held to the provider's limit, batches to its two limits."""
+    held = chunks.withColumn("__held", guard_tokens(F.col(column)))
+    return apply_provider(held, "__held", "embedding", "array<double>", call, T["embed_inputs"], T["embed_tokens"]).drop("__held")
 
 
 def summarize(texts: DataFrame, call: Callable[[list], list] = first_words) -> DataFrame:
-    return apply_provider(texts, "text", "summary", "string", call)
+    """Texts with ``summary``, null where the provider had no access."""
+    return apply_provider(texts, "text", "summary", "string", call, blocked="blocked").drop("blocked")
 
 
-def token_estimate(text):
+def token_estimate(text: Column) -> Column:
     """Tokens of a text where no vocabulary is at hand: four for every three words, at least one a word."""
-    from plumbline.functions.text import word_count
+    return F.ceil(X.word_count(text) * 4 / 3).cast("long")
 
-    return F.ceil(word_count(text) * 4 / 3).cast("long")
 
+def guard_tokens(text: Column, most: int = T["embed_text_tokens"]) -> Column:
+    """The text, or as many of its first words as the limit surely holds where the estimate exceeds it."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.when(token_estimate(text) > most, F.array_join(F.slice(words, 1, most * 3 // 4), " ")).otherwise(text)
 
-def review(claims: DataFrame, call: Callable[[list], list]) -> DataFrame:
-    """Claims with a reviewer's answer for their ``prompt``: (verdict, confidence, reasoning)."""
-    from plumbline.schemas import REVIEW
 
-    return apply_provider(claims, "prompt", "review", REVIEW, call)
+def mean_pool(vectors: Column) -> Column:
+    """The mean of an array of vectors, position by position, as long as the first; null for none."""
+    size = F.size(F.get(vectors, F.lit(0)))
+    total = F.aggregate(vectors, F.array_repeat(F.lit(0.0), size), lambda sums, v: F.zip_with(sums, v, lambda a, b: a + b.cast("double")))
+    return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / F.size(vectors)))
+
+
+def review(claims: DataFrame, call: Callable[[list], list]) -> DataFrame:
+    """Claims with a reviewer's answer for their ``prompt``: (verdict, confidence, reasoning), and ``blocked`` where it had no access."""
+    return apply_provider(claims, "prompt", "review", REVIEW, call, blocked="blocked")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ def reports_progress(page: Column, total: Column, every: int = config.THRESHOLDS
     return (page % every == 0) | (page == total)
 
 
+def progress_events(pages: DataFrame, every: int = config.THRESHOLDS["progress_every_pages"]) -> DataFrame:
+    """(document_id, event, payload) of pages (document_id, page_number, page_count) done: one every so many, and the last."""
+    rows = pages.where(reports_progress(F.col("page_number"), F.col("page_count"), every))
+    payload = F.to_json(F.struct(F.col("page_number").alias("pages_done"), F.col("page_count").alias("pages_total")))
+    return rows.select("document_id", F.lit(config.EVENTS[0]).alias("event"), payload.alias("payload"))
+
+
+def poll(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "2 seconds"):
+    """A view that asks again every ``interval`` instead of being told: the stream of ``rows`` given to ``sink`` batch by batch."""
+    return rows.writeStream.trigger(processingTime=interval).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
+
+
 def percent(done: Column, total: Column) -> Column:
     return F.floor(F.try_divide(done.cast("double"), total) * 100 + 0.5).cast("long")
 

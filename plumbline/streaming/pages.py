@@ -28,3 +28,9 @@ def carried(elements: DataFrame) -> DataFrame:
     the batch operators give them. A document's pages must come in order; within a micro-batch any order will do."""
     rows = elements.select("document_id", "element_index", "type", "text")
     return rows.groupBy("document_id").applyInPandasWithState(_carry, _OUT, "title string, offset bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest_pages(elements: DataFrame, path: str, checkpoint: str):
+    """The incremental sink: body elements of a stream of pages appended to a table as they come, each micro-batch durable before
+    the next. Runs until what is there has been read; the query is returned."""
+    return carried(elements).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

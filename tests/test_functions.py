@@ -136,3 +136,13 @@ def test_schemas(spark):
     rows = spark.createDataFrame([("a", "docx"), ("b", "txt")], "document_id string, file_type string")
     good, bad = schemas.split_valid(rows, "documents")
     assert [r.document_id for r in good.collect()] == ["a"] and [r.document_id for r in bad.collect()] == ["b"]
+
+
+def test_gazetteer_over_phrases(spark):
+    """The first term decides; the longest, where several start there."""
+    phrases = {
+        "strong EBITDA and liability": "financial", "GDPR liability before revenue": "legal", "nothing to see": None, "free cash flow rose YoY": "financial",
+        "yoy growth": "financial", "antitrust case": "legal", "Revenue grew": None, "SEC filing": "legal",
+    }
+    rows = spark.createDataFrame([(p,) for p in phrases], "text string")
+    assert {r.text: r.d for r in rows.select("text", X.gazetteer_domain(F.col("text")).alias("d")).collect()} == phrases

@@ -335,6 +335,10 @@ def test_whole_run(spark, tmp_path):
     verdict = out["verdicts"].where(F.col("claim_id") == found[0].claim_id).first()
     assert (verdict.final_verdict, verdict.final_confidence, verdict.resolved_by) == ("supported", 1.0, "deterministic")
     assert out["verdicts"].count() == out["claims"].count()
+    assert {r.document_id: r.stage for r in out["pipeline_runs"].collect()} == {"d": "ingest", none: "ingest"}
+    agents = out["verdicts"].where("resolved_by = 'agent'").count()
+    assert out["agent_traces"].count() == 2 * agents > 0 and out["verdicts"].where("verifier_reasoning is null and resolved_by = 'deterministic'").count() == 0
+    assert [r.event for r in out["events"].where("document_id = 'd'").orderBy("seq").collect()][:2] == ["ingest_progress", "ingest_complete"]
     folded = {r.document_id: r for r in ev.fold(out["events"]).collect()}
     assert (folded["d"].stage, folded["d"].n_verified, folded["d"].ended) == ("verification_complete", out["claims"].count(), True)
     assert folded[none].last_event == "ingest_failed" and folded[none].ended
@@ -385,3 +389,120 @@ def test_lookup_queries_require_whole_texts(spark, sf_dir):
     want = {(i, d) for i, w in wanted for d, source, ws in docs if w and i % 20 == source and 2 * len(w & ws) >= len(w)}
     got = claim_queries.internal_lookup(spark, sf_dir).collect()
     assert {(r.claim_id, r.candidate_id) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_providers_without_access_leave_rows_blocked(spark):
+    asked = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "id int, prompt string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def barred(batch):
+        calls.add(1)
+        raise providers.MissingCredentials
+
+    got = providers.apply_provider(asked, "prompt", "answer", "string", barred, inputs=2, blocked="blocked").collect()
+    assert [(r.answer, r.blocked) for r in got] == [(None, True)] * 7 and calls.value == 1
+    chunks = spark.createDataFrame([("a", 0, "x " * 90), ("a", 1, "y " * 90), ("b", 0, "z")], "section_id string, ordinal int, text string")
+    done = batching.summarize_sections(chunks, lambda t: providers.summarize(t, barred), direct=100).collect()
+    assert sorted((r.section_id, r.summary) for r in done) == [("a", None), ("b", None)]
+    rows = elements(spark).withColumn("data", F.lit(None).cast("array<array<string>>"))
+    made = ingest.with_summaries(ingest.headed_sections(rows), rows, lambda t: providers.summarize(t, barred)).orderBy("order_index").collect()
+    assert [(r.summary, r.summary_word_count, r.summary_method) for r in made] == [(None, None, None)] + [(None, None, "blocked_credentials")] * 3
+    reviews = spark.createDataFrame([("c", None, None, None, None)], "claim_id string, verifier_verdict string, verifier_confidence double, challenger_verdict string, challenger_confidence double")
+    pending = verify.verify(claims(spark, {"claim_type": "causal"}), candidates(spark), reviews)
+    assert pending.count() == 0
+
+
+def test_batches_keep_both_limits(spark):
+    sizes = [4, 4, 3, 9, 12, 1, 1, 1, 1]
+    assert list(providers.packed(sizes, 10, 3)) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 8), (8, 9)]
+    assert list(providers.packed(sizes, None, 4)) == [(0, 4), (4, 8), (8, 9)] and list(providers.packed([], 5, 5)) == []
+    seen = []
+    frame = spark.createDataFrame([("w " * n,) for n in (3, 3, 30, 3)], "chunk_text string").coalesce(1)
+    out = providers.apply_provider(frame, "chunk_text", "n", "int", lambda xs: seen.append(xs) or [len(xs)] * len(xs), tokens=8)
+    assert [r.n for r in out.collect()] == [2, 2, 1, 1]
+    long = frame.select(providers.guard_tokens(F.col("chunk_text"), 20).alias("t")).collect()
+    assert [len(r.t.split()) for r in long] == [3, 3, 15, 3]
+
+
+def test_verdicts_say_why(spark):
+    found = verify.verify(claims(spark, {"claim_text": "Revenue grew 40% year-over-year"}), candidates(spark), spark.createDataFrame([], "claim_id string, verifier_verdict string, verifier_confidence double, challenger_verdict string, challenger_confidence double"))
+    row = found.first()
+    assert found.columns == list(verify.VERDICT) and row.verifier_verdict is None and "12.00%" in row.verifier_reasoning and "40.00%" in row.verifier_reasoning
+    reviews = spark.createDataFrame([("c", "supported", 0.9, "good", "asked", "raw")], "claim_id string, verifier_verdict string, verifier_confidence double, verifier_reasoning string, verifier_prompt string, verifier_raw string")
+    reviews = reviews.withColumns({"challenger_verdict": F.lit("disputed"), "challenger_confidence": F.lit(0.5)})
+    traces = {r.agent_name: r for r in verify.traces(reviews, "h", "2026-01-01 00:00:00").collect()}
+    assert (traces["verifier"].prompt_sent, traces["verifier"].raw_response) == ("asked", "raw")
+    assert traces["challenger"].raw_response == '{"verdict":"disputed","confidence":0.5}' and len({t.trace_id for t in traces.values()}) == 2
+    shown = review.trace_view(verify.traces(reviews, "h", "2026-01-01 00:00:00")).first()
+    assert shown.created_at == "2026-01-01T00:00:00"
+
+
+def test_portable_documents_through_a_reader(spark):
+    """Bytes through a callable to the elements of native and scanned pages."""
+
+    def reader(content):
+        assert content == b"%PDF"
+        words = [("Results", 10.0, 10.0, 20.0), ("We", 10.0, 60.0, 11.0), ("did", 30.0, 60.5, 11.0), ("inside", 60.0, 210.0, 11.0), ("well.", 10.0, 72.0, 11.0), ("and", 40.0, 72.0, 11.0), ("so", 60.0, 72.0, 11.0)]
+        native = {"text": "Results We did well and more than twenty", "words": words, "boxes": [(50.0, 200.0, 300.0, 300.0, [["a", "b"]])]}
+        return [native, {"text": " ", "read": [("Scanned", 80), ("", 50), ("page", 60), ("x", -1)]}, {"read": []}]
+
+    rows = spark.createDataFrame([("p", "pdf", bytearray(b"%PDF"))], "document_id string, file_type string, content binary")
+    got = [(r.element_index, r.page_number, r.type, r.text, r.data, r.ocr_confidence) for r in files.parse_documents(rows, reader).orderBy("element_index").collect()]
+    assert got == [
+        (0, 1, "heading", "Results", None, None),
+        (1, 1, "paragraph", "We did well. and so", None, None),
+        (2, 1, "table", None, [["a", "b"]], None),
+        (3, 2, "paragraph", "Scanned page x", None, pytest.approx(0.19 / 0.3)),
+    ]
+
+
+def test_settings_files(spark, tmp_path):
+    import importlib.util
+
+    if importlib.util.find_spec("yaml") is None:
+        pytest.skip("no yaml package")
+    from plumbline import config
+
+    (tmp_path / "registry.yaml").write_text("- {domain: a, claim_type: '*', verification_method: agent, confidence_ceiling: 0.6}\n- domain: b\n  claim_type: causal\n  verification_method: deterministic\n")
+    assert config.load_registry(str(tmp_path / "registry.yaml")) == (("a", "*", "agent", 0.6), ("b", "causal", "deterministic", None))
+    (tmp_path / "exemplars.yaml").write_text("a:\n  - One.\n  - Two.\nb:\n  - Three.\n")
+    rows = config.load_exemplars(str(tmp_path / "exemplars.yaml"))
+    assert rows == [("a", "One."), ("a", "Two."), ("b", "Three.")]
+    vectors = providers.embed(spark.createDataFrame(rows, "label string, chunk_text string"))
+    assert {r.label for r in classify.centroids(vectors).collect()} == {"a", "b"}
+
+
+def test_structure_of_documents_that_came_by_pages(spark, tmp_path):
+    rows = elements(spark).withColumn("data", F.lit(None).cast("array<array<string>>"))
+    chunks = rows.where("type <> 'heading'").select("document_id", F.col("element_index").alias("chunk_id"), "page_number")
+    made = ingest.finalize_structure(rows, chunks, spark.createDataFrame([("d", 80)], "document_id string, page_count int"), providers.summarize)
+    assert made["documents"].first().has_structural_index and made["documents"].first().status == "ingested"
+    sections = made["sections"].orderBy("order_index").collect()
+    assert [(r.title, r.page_start, r.page_end, r.summary) for r in sections][1:3] == [("Executive Summary", 0, 0, "We did well."), ("Financial Highlights", 1, 1, "Revenue grew 12% YoY, and costs fell.")]
+    short = ingest.finalize_structure(rows, chunks, spark.createDataFrame([("d", 5)], "document_id string, page_count int"))
+    assert not short["documents"].first().has_structural_index and short["sections"].count() == 0 and all(r.order_index is None for r in short["chunks"].collect())
+
+
+def test_vectors_are_searched_in_batches(spark):
+    rng = random.Random(4)
+    vectors = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(300)]
+    vectors[5] = vectors[9] = vectors[2]
+    odd = [(900, [1.0]), (901, [None] * 6), (902, [0.0] * 6), (903, None)]
+    chunks = spark.createDataFrame(list(enumerate(vectors)) + odd, "chunk_id int, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([("a", vectors[2]), ("b", vectors[7]), ("none", [0.0] * 6)], "query_id string, vector array<double>")
+    got = {}
+    for r in retrieve.similar_many(chunks, asked, 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.chunk_id))
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for name, q in (("a", vectors[2]), ("b", vectors[7])):
+        best = sorted((-round(cosine(v, q), 12), i) for i, v in enumerate(vectors))[:4]
+        assert sorted(got[name]) == [(k + 1, i) for k, (_, i) in enumerate(best)]
+    assert sorted(got["none"]) == [(k + 1, k) for k in range(4)]
+    pairs = spark.createDataFrame([(i % 3, i, v) for i, v in enumerate(vectors)], "document_id int, claim_id int, embedding array<double>")
+    near = {r.claim_id: r.same_as for r in classify.near_claims(pairs, 0.9).collect()}
+    want = {}
+    for i, v in enumerate(vectors):
+        same = [j for j in range(i) if j % 3 == i % 3 and cosine(v, vectors[j]) >= 0.9]
+        if same:
+            want[i] = same[0]
+    assert near == want and near

@@ -1,22 +1,20 @@
 """What the corpus operators share: table access, shared-folder staging and Arrow text buffers.
 
-Nothing here collects rows to the driver.  Staged tables go to the folder that the cluster
-names in ``spark.checkpoint.dir``; without that setting, local sessions stage in a temporary
-folder and sessions on a cluster are refused, because their executors could not read it.
+Nothing here collects rows to the driver.  ``cut`` writes a table in the shared folder and reads it back:
+lineage ends there and a lost executor costs no recomputation of what stands before.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.staging import fresh_path, shared_dir  # noqa: F401
+from plumbline.staging import stored as cut  # noqa: F401
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches are cut to so many rows, so that very long texts don't pile up in one batch.
@@ -24,56 +22,17 @@ BATCH_ROWS = 512
 #: Texts inside an Arrow batch are handled in slices of about so many bytes.
 SLICE_BYTES = 1 << 21
 
-_staged: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows and bytes of an Arrow batch for this session's Python stages."""
+    """Bound the rows and bytes of an Arrow batch for this session's Python stages. The bounds stay: a frame that is
+    returned runs under the settings of the time when it is read."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing has used; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/plumbline/{what}-{uuid.uuid4().hex}"
-    if not _staged:
-        atexit.register(_remove_staged)
-    _staged.append((spark, path))
-    return path
-
-
-def _remove_staged() -> None:
-    for spark, path in _staged:
-        if spark.sparkContext._jsc is None:
-            continue
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here and a lost
-    executor costs no recomputation of what stands before."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: A key is hot if it holds more than one in HOT_KEYS of the rows, so there are fewer hot keys than that.
 HOT_KEYS = 1000
 

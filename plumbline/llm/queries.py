@@ -71,8 +71,34 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+# --- the contract's base columns, which SQL can say ------------------------------------------------
+
+
+def base_op1_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def base_op4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base verdicts, which no label bears on."""
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    return quality.quality(table(spark, sf_dir, "documents"), none).drop("kept", "quality")
+
+
+def base_op5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_pii(spark, sf_dir).drop("base_sha256", "spans")
+
+
+def base_op6_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def base_op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_secrets(spark, sf_dir).drop("base_sha256", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_mixing, op2_pieces, op3_urls, op4_quality, op5_pii, op6_token_counts, op7_near_dedup, op8_topk, op9_secrets, op10_token_files, pipeline)
+    named += (base_op1_targets, base_op4_counts, base_op5_counts, base_op6_bytes, base_op9_counts)
     return {f.__name__: f for f in named}
 
 
@@ -143,5 +169,56 @@ SELECT page_id, p.host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} E
 FROM p LEFT JOIN rej ON p.host = rej.host AND p.shape = rej.shape"""
 
 
+_SPLIT = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+
+BASE_OP1_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({_SPLIT}) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS turn FROM w),
+b AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER u, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER u, 0)) AS share
+  FROM o WINDOW u AS (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(share, turn) AS level FROM b WHERE 3 * source_size >= weight * share)
+SELECT doc_id, size::BIGINT AS size, source_size, least(3 * source_size::DOUBLE, weight * level) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, l
+"""
+
+BASE_OP4_SQL = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, text, {_SPLIT} AS ws FROM documents),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM w WHERE text IS NOT NULL),
+wins AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+many AS (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+inside AS (SELECT r, count(DISTINCT i + j) AS n FROM many, range(5) t(j) GROUP BY r),
+c AS (SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0)::BIGINT AS n_symbols,
+  coalesce(len(ls) - len(list_distinct(ls)), 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN lines USING (r) LEFT JOIN inside USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: (CASE WHEN i % 2 = 1 THEN reverse({_DIGITS})[i]::INT WHEN reverse({_DIGITS})[i]::INT > 4 THEN 2 * reverse({_DIGITS})[i]::INT - 9 ELSE 2 * reverse({_DIGITS})[i]::INT END))) % 10 = 0"
+
+BASE_OP5_SQL = rf"""
+SELECT doc_id, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')), 0)::BIGINT AS n_email,
+  coalesce(len(list_filter(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda m: len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS BIGINT), 0) > 255)) = 0)), 0)::BIGINT AS n_ip,
+  coalesce(len(list_filter(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+'), lambda m: length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN})), 0)::BIGINT AS n_card,
+  coalesce(len(list_filter(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda m: length({_DIGITS}) BETWEEN 10 AND 15)), 0)::BIGINT AS n_phone FROM documents
+"""
+
+_KEYS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+
+BASE_OP9_SQL = rf"""
+SELECT doc_id, coalesce(len(list_filter(regexp_extract_all(text, '(?:{_KEYS})["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda m: length(m) >= 6)), 0)::BIGINT AS n_assign,
+  coalesce(len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda m: length(m) >= 20)), 0)::BIGINT AS n_access,
+  coalesce(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda m: length(m) >= 24)), 0)::BIGINT AS n_hex FROM documents
+"""
+
+BASE_SQL = {
+    "base_op1_targets": BASE_OP1_SQL,
+    "base_op4_counts": BASE_OP4_SQL,
+    "base_op5_counts": BASE_OP5_SQL,
+    "base_op6_bytes": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents",
+    "base_op9_counts": BASE_OP9_SQL,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": op3_sql(), "op7_near_dedup": OP7_SQL, "op8_topk": OP8_SQL}
+    return {"op3_urls": op3_sql(), "op7_near_dedup": OP7_SQL, "op8_topk": OP8_SQL} | BASE_SQL

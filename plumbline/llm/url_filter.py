@@ -120,7 +120,8 @@ def rejected_shapes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     pages: (page_id, host, shape); labels: (page_id, bad 0/1), one row a page.
     """
     seen = pages.select("host", "shape", F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("bad"))
-    marked = pages.join(labels, "page_id").select("host", "shape", F.lit(0).alias("n"), F.lit(1).alias("labelled"), "bad")
+    # labels are as many as their table's; a merge at every size, so that neither side is sent to all
+    marked = pages.join(labels.hint("merge"), "page_id").select("host", "shape", F.lit(0).alias("n"), F.lit(1).alias("labelled"), "bad")
     counted = seen.unionByName(marked).groupBy("host", "shape").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
     tree = cut(_tree(counted).withColumn("place", F.concat("host", "template")), "tree")
     base = labels.agg(F.avg(F.col("bad").cast("double"))).first()[0] or 0.0  # one number

@@ -39,6 +39,7 @@ MARK = "▁"
 DICTIONARY_WORDS = 150_000
 WORD_CHARS = 32
 MEMORY_WORDS = 300_000
+_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
@@ -52,14 +53,18 @@ def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word) -> (word, edges): for every word its substrings that are pieces, with start, end (1-based,
-    exclusive), id and score. Single characters that are no piece get an edge with a null id."""
+    exclusive), id and score. Single characters that are no piece get an edge with a null id.
+
+    Substrings meet pieces by a 64-bit digest, whose join table is the fastest, and are then compared whole."""
     at = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
     room = F.least(F.lit(longest), F.length("word") - F.col("start") + 1)
     spans = at.select("word", "start", F.explode(F.sequence(F.lit(1), room)).alias("size"))
-    spans = spans.withColumn("piece", F.substring("word", F.col("start"), F.col("size")))
-    met = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or size = 1")
+    spans = spans.withColumn("part", F.substring("word", F.col("start"), F.col("size"))).withColumn("key", F.xxhash64("part"))
+    keyed = pieces.select(F.xxhash64("piece").alias("key"), "piece", "id", "score")
+    same = F.col("piece") == F.col("part")
+    met = spans.join(F.broadcast(keyed), "key", "left").select("word", "start", "size", F.when(same, F.col("id")).alias("id"), F.when(same, F.col("score")).alias("score"))
     edge = F.struct(F.col("start"), (F.col("start") + F.col("size")).alias("end"), "id", "score")
-    return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return met.where("id is not null or size = 1").groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def viterbi(edges: Column, length: Column, unknown: float = -1e6) -> Column:
@@ -80,34 +85,39 @@ def viterbi(edges: Column, length: Column, unknown: float = -1e6) -> Column:
 
 def merges(edges: Column, length: Column) -> Column:
     """Piece ids by byte-pair merging: of the neighbours whose union is a piece the best-scoring pair
-    merges (leftmost on ties), until none is left."""
-    by_span = F.map_from_entries(F.transform(edges, lambda e: F.struct(e["start"] * 1000 + e["end"], F.struct(e["id"].alias("id"), e["score"].alias("score")))))
-    # bounds: the starts of the current symbols and the end
-    bounds = F.sequence(F.lit(1), length + 1)
-
-    def merge(state: Column, _: Column) -> Column:
-        bounds, table = state["bounds"], state["table"]
-
-        def offer(i: Column) -> Column:
-            found = F.try_element_at(table, F.element_at(bounds, i) * 1000 + F.element_at(bounds, i + 2))
-            return F.struct(found["score"].alias("score"), (-i).alias("place"))
+    merges (leftmost on ties), until none is left. For words of at most 61 characters: the bounds of the
+    current symbols are the bits of a long, bit i for a symbol that starts at character i."""
+
+    def bit(i: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+    # an edge joins two neighbours if both its ends are bounds and there is one bound between them
+    ranked = F.transform(
+        F.filter(edges, lambda e: e["end"] - e["start"] > 1),
+        lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), (bit(e["end"]) - bit(e["start"]) + bit(e["end"])).alias("span"), bit(e["end"]).bitwiseOR(bit(e["start"])).alias("ends")),
+    )
+    state = F.struct((bit(length + 1) - 2 + bit(length + 1)).alias("bounds"), F.sort_array(ranked).alias("live"))
+
+    def step(state: Column, _: Column) -> Column:
+        bounds = state["bounds"]
+        whole = lambda e: e["ends"].bitwiseAND(bounds) == e["ends"]
+        live = F.filter(state["live"], whole)
+        best = F.get(F.filter(state["live"], lambda e: (F.bit_count(e["span"].bitwiseAND(bounds)) == 3) & whole(e)), F.lit(0))
+        joined = F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["span"].bitwiseXOR(best["ends"]))), bounds)
+        return F.when(F.size(state["live"]) == 0, state).otherwise(F.struct(joined.alias("bounds"), live.alias("live")))
 
-        offers = F.transform(F.sequence(F.lit(1), F.size(bounds) - 2), offer)
-        best = F.array_max(F.filter(offers, lambda o: o["score"].isNotNull()))
-        rest = F.when(best.isNull(), bounds).otherwise(F.concat(F.slice(bounds, F.lit(1), -best["place"]), F.slice(bounds, 2 - best["place"], F.size(bounds))))
-        done = state["done"] | best.isNull()
-        return F.struct(F.when(state["done"], bounds).otherwise(rest).alias("bounds"), table.alias("table"), done.alias("done"))
-
-    first = F.struct(bounds.alias("bounds"), by_span.alias("table"), (length < 2).alias("done"))
+    def ids(state: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), length + 1), lambda i: bit(i).bitwiseAND(state["bounds"]) != 0)
+        by_span = F.map_from_entries(F.transform(edges, lambda e: F.struct(e["start"] * 1000 + e["end"], e["id"])))
 
-    def step(state: Column, i: Column) -> Column:
-        return F.when(state["done"] | (F.size(state["bounds"]) < 3), state).otherwise(merge(state, i))
+        def between(x: Column) -> Column:
+            n = F.size(x["at"]) - 1
+            return F.zip_with(F.slice(x["at"], F.lit(1), n), F.slice(x["at"], F.lit(2), n), lambda a, z: F.try_element_at(x["table"], a * 1000 + z))
 
-    def ids(state: Column) -> Column:
-        spans = F.sequence(F.lit(1), F.size(state["bounds"]) - 1)
-        return F.transform(spans, lambda i: state["table"][F.element_at(state["bounds"], i) * 1000 + F.element_at(state["bounds"], i + 1)]["id"])
+        # an array of one, so that both are worked out once
+        return F.element_at(F.transform(F.array(F.struct(at.alias("at"), by_span.alias("table"))), between), 1)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), first, step, ids)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), state, step, ids)
 
 
 class Cutter:
@@ -220,7 +230,13 @@ def word_dictionary(docs: DataFrame, model: str = MODEL) -> DataFrame:
     base = _processor(model)[2]
     pieces_of = merges(F.col("edges"), F.length("word"))
     folded = edges.select("word", pieces_of.alias("pieces"))
-    return cut(folded.select("word", _with_bytes(F.col("word"), F.col("pieces"), base).alias("ids")), "dictionary")
+    # edges are grouped by hash, as a task has no more words than the dictionary; the setting is put back after the write
+    before = spark.conf.get(_GROUPS)
+    spark.conf.set(_GROUPS, str(DICTIONARY_WORDS))
+    try:
+        return cut(folded.select("word", _with_bytes(F.col("word"), F.col("pieces"), base).alias("ids")), "dictionary")
+    finally:
+        spark.conf.set(_GROUPS, before)
 
 
 def _with_bytes(word: Column, pieces: Column, base: int) -> Column:

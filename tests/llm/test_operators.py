@@ -196,6 +196,28 @@ def test_viterbi_fold_finds_the_best_path(spark):
         assert sum(table_[names[i]] for i in got[w]) == pytest.approx(best(w))
 
 
+def test_merge_fold_equals_merging_by_hand(spark):
+    rng = random.Random(8)
+    # pieces that no pair of others need make, and scores that let a later merge open a better one
+    names = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(2, 6))) for _ in range(30)})
+    table_ = {p: -float(i) for i, p in enumerate(rng.sample(names, len(names)))} | {"a": -100.0}
+    ids = {p: i for i, p in enumerate(table_)}
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 5, 9, 20, 61]))) for _ in range(150)})
+    vocab = spark.createDataFrame([(p, ids[p], s) for p, s in table_.items()], "piece string, id int, score double")
+    edges = pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), vocab, 5)
+    got = {r.word: r.path for r in edges.select("word", pieces.merges(F.col("edges"), F.length("word")).alias("path")).collect()}
+    assert sorted(got) == words
+    for w in words:
+        parts = list(w)
+        while True:
+            offers = [(-table_[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in table_]
+            if not offers:
+                break
+            i = min(offers)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert got[w] == [ids.get(p) for p in parts], w
+
+
 # --- 3 urls -------------------------------------------------------------------------------------
 
 

@@ -266,7 +266,8 @@ def mean_pooled(spark, sf_dir):
     """Token vectors pooled to one."""
     parts = F.array(F.col("embedding").cast("array<double>"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3))
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null and size(embedding) > 0")
-    return rows.select("vec_id", F.transform(providers.mean_pool(parts), lambda x: F.round(x, 6)).alias("pooled"))
+    # round() here drops the sign of what it rounds to zero; SQL keeps it
+    return rows.select("vec_id", F.transform(providers.mean_pool(parts), lambda x: F.abs(F.round(x, 6)) * F.signum(x)).alias("pooled"))
 
 
 @query("SELECT item_id AS claim_id, 'external' AS source_type, 'search://' || item_id AS source_ref, text AS content_snippet, 0.5::DOUBLE AS authority_score FROM benchmark WHERE item_id % 3 <> 0")

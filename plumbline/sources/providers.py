@@ -150,7 +150,8 @@ def guard_tokens(text: Column, most: int = T["embed_text_tokens"]) -> Column:
 def mean_pool(vectors: Column) -> Column:
     """The mean of an array of vectors, position by position, as long as the first; null for none."""
     size = F.size(F.get(vectors, F.lit(0)))
-    total = F.aggregate(vectors, F.array_repeat(F.lit(0.0), size), lambda sums, v: F.zip_with(sums, v, lambda a, b: a + b.cast("double")))
+    # sums begin at -0.0, which added to any figure leaves it as it is: 0.0 would turn a mean of -0.0 into 0.0
+    total = F.aggregate(vectors, F.array_repeat(F.lit(-0.0), size), lambda sums, v: F.zip_with(sums, v, lambda a, b: a + b.cast("double")))
     return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / F.size(vectors)))
 
 

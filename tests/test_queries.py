@@ -32,3 +32,14 @@ def test_query_equals_sql(spark, sf_dir, oracle, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pooled_vectors_keep_the_sign_of_zero(spark, tmp_path):
+    odd = [[-1e-7, 1e-7, -2.4e-7, -2.6e-7], [-0.0, 0.0], [float("nan"), float("inf"), float("-inf"), None, -3.4e38], [k / 256 for k in range(-4, 5)], [], None]
+    spark.createDataFrame(list(enumerate(odd)), "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in registry.queries()["mean_pooled"](spark, str(tmp_path)).orderBy("vec_id").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = con.execute(registry.oracle_sql()["mean_pooled"]).fetchall()
+    assert repr(got) == repr(sorted(found, key=lambda r: r[0]))  # by repr: -0.0 equals 0.0
+    assert repr(got[0][1]) == "[-0.0, 0.0, -0.0, -1e-06]" and repr(got[1][1]) == "[-0.0, 0.0]"

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import Texts, cut, keyed, mix64, shingle_hashes, skew_join, slices, small_batches
+from plumbline.llm.common import HOT_KEYS, Texts, cut, keyed, mix64, shingle_hashes, skew_join, slices, small_batches
 
 PERMUTATIONS = 64
 #: Permutations of a band; each gives its minimum and its maximum.
@@ -49,7 +49,7 @@ SIMILAR = 75
 BLOCK_SHINGLES = 1 << 19
 #: Pairs of one shingle that are emitted; the members of a shingle with more are compared in blocks.
 PAIRS = 1 << 16
-#: Pairs that meet one copy of a class's set.
+#: Pairs that meet one copy of a class's set, at least; a HOT_KEYS-th of all pairs, where that is more.
 SALT_PAIRS = 1 << 9
 
 _FLIP = keyed(PERMUTATIONS, seed=1)[:, None]
@@ -139,24 +139,31 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))  # rows may repeat an id with its text
 
 
-def _salted(pairs: DataFrame, sets: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, ..), a written table, with a salt of one side, and the sets of that side, each copied to as
-    many salts as its pairs need."""
-    salt = f"salt_{side}"
-    sizes = pairs.groupBy(side).count()
-    salts = sizes.select(side, F.ceil(F.col("count") / SALT_PAIRS).cast("int").alias(salt))
-    dealt = skew_join(pairs, salts, side, sizes=sizes).withColumn(salt, F.pmod(F.xxhash64("a", "b"), salt).cast("int"))
-    copies = sets.join(salts, sets.cls == salts[side])
-    return dealt, copies.select(side, F.explode(F.sequence(F.lit(0), F.col(salt) - 1)).alias(salt), F.col("shingles").alias(f"of_{side}"))
+def _salted(pairs: DataFrame, sets: DataFrame, side: str, room: int) -> tuple[DataFrame, DataFrame]:
+    """(key, salts) of one side of the pairs, a written table, with a salt for every ``room`` pairs of a key, and the
+    sets of that side, each copied to as many salts as its pairs need."""
+    salts = F.ceil(F.col("count") / room).cast("int")
+    needed = cut(pairs.groupBy(side).count().select(side, salts.alias("salts")), "salts")
+    copies = sets.join(needed, sets.cls == needed[side])
+    salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    return needed, copies.select(side, salt.alias(f"salt_{side}"), F.col("shingles").alias(f"of_{side}"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, a written table, those whose full shingle sets are similar enough."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, once: bool = False) -> DataFrame:
+    """Of pairs (a, b) of classes, rows of a written table, those whose full shingle sets are similar enough.
+
+    A key with more than one salt holds over a HOT_KEYS-th of the pairs or is one of few, so these are broadcast to the pairs.
+    once: no class is the ``a`` of two pairs, so that side needs no salts.
+    """
     n_a, n_b = F.size("of_a").cast("long"), F.size("of_b").cast("long")
     common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    dealt, of_a = _salted(pairs, sets, "a")
-    dealt, of_b = _salted(cut(dealt, "dealt"), sets, "b")
-    met = dealt.join(of_a, ["a", "salt_a"]).join(of_b, ["b", "salt_b"])
+    room = max(SALT_PAIRS, pairs.count() // HOT_KEYS)
+    met = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a")), "a") if once else pairs
+    for side in "b" if once else "ab":
+        needed, of_side = _salted(pairs, sets, side, room)
+        salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a", "b"), "salts").cast("int"))
+        met = met.join(F.broadcast(needed.where("salts > 1")), side, "left").withColumn(f"salt_{side}", salt).drop("salts")
+        met = met.join(of_side, [side, f"salt_{side}"])
     met = met.where(F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * SIMILAR)
     met = met.select("a", "b", (n_a + n_b).alias("n"), common.alias("common"))
     return met.where(F.col("common") * 100 >= (F.col("n") - F.col("common")) * SIMILAR).select("a", "b")
@@ -286,7 +293,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     chain of length n ends in about log n rounds. Each round is a written table.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    edges = cut(edges.union(edges.select("v", "u")).distinct(), "edges")
+    edges = cut(edges.union(edges.select("v", "u")), "edges")  # a link that comes twice does no harm
     labels = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("comp")), "labels")
     while True:
         near = (
@@ -324,7 +331,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     signed = cut(_keyed_texts(docs).mapInArrow(_sign, _SIGNED), "signatures")
     classes = signed.where("digest is not null").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")
+        F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.count("*").alias("count")
     )
     # a class is named by a number, which the written table keeps
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
@@ -340,17 +347,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     offers = skew_join(offers, tops, "key", sizes=reach)
     stars = offers.where(F.col("cls") != F.col("top.hub")).groupBy("cls").agg(F.max("top").alias("top"), F.first("weight").alias("weight"))
     stars = cut(stars.select("cls", F.col("top.hub").alias("hub"), "weight"), "stars")
-    links = cut(_confirmed(cut(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "pairs"), sets), "links")
+    links = cut(_confirmed(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), sets, once=True), "links")
     labels = components(links)
     while True:
         refused = cut(_refused(stars, labels), "refused")
-        tops = refused.groupBy("hub").agg(F.max(F.struct("weight", "cls")).alias("top"))
-        again = skew_join(refused, tops, "hub").where(F.col("cls") != F.col("top.cls"))
+        tops = cut(refused.groupBy("hub").agg(F.max(F.struct("weight", "cls")).alias("top"), F.count("*").alias("count")), "tops")
+        again = skew_join(refused, tops.select("hub", "top"), "hub", sizes=tops).where(F.col("cls") != F.col("top.cls"))
         stars = cut(again.select("cls", F.col("top.cls").alias("hub"), "weight"), "stars")
         asked = stars.count()
         if not asked:
             break
-        found = cut(_confirmed(cut(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "pairs"), sets), "links")
+        found = cut(_confirmed(stars.select(F.col("cls").alias("a"), F.col("hub").alias("b")), sets, once=True), "links")
         n = found.count()
         if n:
             links = links.unionByName(found)
@@ -361,6 +368,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # 2. what shares a bucket with another component
     marked = cut(_labelled(members, labels), "marked")
     open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    open_keys = cut(open_keys, "open-keys")
     marked = skew_join(marked, open_keys, "key", sizes=reach).select("cls", "comp").distinct()
     more = cut(_crossing(cut(sets.join(marked, "cls"), "open"), sets), "links")
     if not more.isEmpty():
@@ -373,14 +381,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = cut(grouped.join(smallest, "comp").select("digest", "component_id"), "ids")
     alone = F.col("digest").isNull()
     component: Column = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return skew_join(signed.drop("bands"), ids, "digest", "left").select(
+    return skew_join(signed.drop("bands"), ids, "digest", "left", sizes=classes).select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key"
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that aren't the smallest id of their group; all columns stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id"), "text_key").distinct()
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id"), "text_key")
     here = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("of"), F.xxhash64(docs["text"]).alias("key"))
     kept = here.join(gone, (F.col("key") == F.col("text_key")) & F.col("of").eqNullSafe(F.col("id")), "left_anti")
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -615,6 +615,17 @@ def test_near_duplicates_of_families(spark, monkeypatch, pairs):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
 
 
+def test_near_duplicates_run_in_few_jobs(spark):
+    # the driver keeps threads, plans and figures for every job: salts and counts are worked out once and read again
+    spark.sparkContext.setJobGroup("near", "near-duplicates")
+    try:
+        near_dedup.near_duplicates(spark.createDataFrame(list(families().items()), "doc_id long, text string")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("near")
+    assert 0 < len(jobs) <= 200
+
+
 # --- 8 top k --------------------------------------------------------------------------------------
 
 

@@ -166,10 +166,10 @@ class Model:
 def _fit(rows: list, ratio: float) -> Model | None:
     """Logistic regression by full-batch accelerated gradient steps; Platt scaling on the rest.
 
-    ratio: good labels for every bad one in the whole table.
+    ratio: good labels for every bad one in the whole table. rows: emptied, so that their bytes don't stay beside the arrays.
     """
     size = 1 << BITS
-    rows = sorted(rows)  # (place, label, slots, shares)
+    rows.sort()  # (place, label, slots, shares)
     labels = np.array([float(r[1]) for r in rows])
     if len(set(labels)) < 2:
         return None
@@ -179,22 +179,23 @@ def _fit(rows: list, ratio: float) -> Model | None:
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) // 4 for r in rows])
     slot = np.frombuffer(b"".join(r[2] for r in rows), "<i4")
     share = np.frombuffer(b"".join(r[3] for r in rows), "<f4")
+    rows.clear()
     train = np.where(held, 0.0, 1.0)
     weight = train * np.where(labels > 0, 0.5 / max(1, (train * labels).sum()), 0.5 / max(1, (train * (1 - labels)).sum()))
     # square roots of shares' column norms even out rare and common slots
     norm = np.sqrt(np.bincount(slot, share**2 * weight[row], 2 * size) + 1e-9)
     value = share / norm[slot]
     w, look, bias, momentum, penalty = np.zeros(2 * size), np.zeros(2 * size), 0.0, 0.9, 1e-3
-    step = 4.0 / max(1e-9, (weight * np.bincount(row, value**2, len(rows))).sum())
+    step = 4.0 / max(1e-9, (weight * np.bincount(row, value**2, len(labels))).sum())
     for _ in range(120):
-        margin = np.bincount(row, value * look[slot], len(rows)) + bias
+        margin = np.bincount(row, value * look[slot], len(labels)) + bias
         off = weight * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels)
         new = look - step * (np.bincount(slot, value * off[row], 2 * size) + penalty * look)
         look = new + momentum * (new - w)
         w = new
         bias -= off.sum()
     w = w / norm
-    score = np.bincount(row, share * w[slot], len(rows))
+    score = np.bincount(row, share * w[slot], len(labels))
     part = held if held.any() else ~held
     x, y = score[part], labels[part]
     # Platt's targets, rows weighted to the table's class ratio, two-parameter Newton steps
@@ -237,7 +238,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         for batch in batches:
             for place, label, slots, shares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen.setdefault((place, label), (place, label, slots, shares))  # repeated rows of a document count once
-        model = _fit(list(seen.values()), ratio)
+        rows = list(seen.values())
+        seen.clear()
+        model = _fit(rows, ratio)
         if model is not None:
             both = np.concatenate([model.weights["word"], model.weights["char"]]).astype("<f4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([both], pa.binary()), pa.array([model.slope]), pa.array([model.shift])], names=["weights", "slope", "shift"])
